@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 #: Bytes of text handled at once inside a task; one longer document is still handled whole.
 CHUNK_BYTES = 4 << 20
 #: A side is broadcast only if it holds at most so many bytes (measured on its written table).
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 32 << 20
+#: The same for tables of sorted-out ids: some millions of rows, of about 16 bytes each in memory.
+ID_BYTES = 8 << 20
 
 _M1, _M2, _K = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,9 +128,12 @@ class Scratch:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(df._lumenark_path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
-    def maybe_broadcast(self, df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-        """A kept table, marked for broadcast only if its files are within the limit; beyond it the join shuffles both sides."""
-        return F.broadcast(df) if self.bytes(df) <= limit else df
+    def maybe_broadcast(self, df: DataFrame, limit: int = BROADCAST_BYTES, of: DataFrame | None = None) -> DataFrame:
+        """df, marked for broadcast only if its files, or those of the kept table it comes from, are within the limit.
+
+        Beyond it the join shuffles both sides. For tables of ids, which pack well on disk, take ID_BYTES.
+        """
+        return F.broadcast(df) if self.bytes(df if of is None else of) <= limit else df
 
 
 def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import Scratch, as_binary, digest, documents_of, gram_hashes, map_chunks, mix, word_hashes
+from lumenark.llm.common import ID_BYTES, Scratch, as_binary, digest, documents_of, gram_hashes, map_chunks, mix, word_hashes
 from lumenark.llm.components import components
 
 WIDTH, PERCENT, BANDS, ROWS = 5, 75, 40, 4
@@ -122,7 +122,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = scratch.keep(keyed.join(shared, "key"))
     # The full sets of those that share any bucket.
     wanted = scratch.keep(members.select("id").distinct())
-    sets = scratch.keep(map_chunks(docs.join(_marked(scratch, wanted, "doc_id"), "doc_id", "left_semi"), _sets(width), "id long, elements array<long>").distinct())
+    sets = scratch.keep(map_chunks(docs.join(scratch.maybe_broadcast(wanted.withColumnRenamed("id", "doc_id"), ID_BYTES, wanted), "doc_id", "left_semi"), _sets(width), "id long, elements array<long>").distinct())
     tested = None
     comp = None
     turn = 0
@@ -166,13 +166,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = base.select("doc_id", "n_shingles", "d1", "d2").join(mapped, ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
-def _marked(scratch: Scratch, ids: DataFrame, name: str) -> DataFrame:
-    """A kept table of ids under another name, broadcast if it is small."""
-    renamed = ids.select(F.col(ids.columns[0]).alias(name))
-    return F.broadcast(renamed) if scratch.bytes(ids) <= BROADCAST_IDS else renamed
-
-
-#: Ids are packed well on disk and take about 16 bytes each in memory; a table of this many bytes holds some millions.
-BROADCAST_IDS = 8 << 20

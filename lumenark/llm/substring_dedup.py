@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import Scratch, as_binary, digest, documents_of, gram_hashes, map_chunks, signed, word_hashes
+from lumenark.llm.common import ID_BYTES, Scratch, as_binary, digest, documents_of, gram_hashes, map_chunks, signed, word_hashes
 
 WINDOW, ANCHOR = 20, 8
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -206,8 +206,7 @@ def removal_intervals(docs: DataFrame, scratch: Scratch, window: int = WINDOW, a
     first = long_.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c"))
     copied = first.where("c > 1").select("d1", "d2", "first")
     copies = scratch.keep(long_.select("doc_id", "d1", "d2").join(copied, ["d1", "d2"]).where("doc_id <> first").select("doc_id").distinct())
-    copies_mark = F.broadcast(copies) if scratch.bytes(copies) <= SMALL_IDS else copies
-    occurrences = long_.select("doc_id", "anchors").join(copies_mark, "doc_id", "left_anti").select("doc_id", F.explode("anchors").alias("k"))
+    occurrences = long_.select("doc_id", "anchors").join(scratch.maybe_broadcast(copies, ID_BYTES), "doc_id", "left_anti").select("doc_id", F.explode("anchors").alias("k"))
     repeated = occurrences.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
     hits = scratch.keep(occurrences.join(repeated, "k").groupBy("doc_id").agg(F.collect_set("k").alias("hits")))
     spans = scratch.keep(map_chunks(docs.join(scratch.maybe_broadcast(hits), "doc_id"), _spans(window, anchor), "doc_id long, k long, span long, at int, n int, windows array<long>"))
@@ -226,10 +225,6 @@ def removal_intervals(docs: DataFrame, scratch: Scratch, window: int = WINDOW, a
     return base, scratch.keep(plan.groupBy("doc_id").agg(F.max("gone").alias("gone"), F.flatten(F.collect_list("cuts")).alias("cuts")))
 
 
-#: Ids packed on disk; some millions of rows.
-SMALL_IDS = 8 << 20
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]): one row for each input row.
 
@@ -245,14 +240,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cut = map_chunks(docs.join(scratch.maybe_broadcast(plan), "doc_id", "left"), _cut(window), "doc_id long, left long, n_removed long, kept_sha256 string, kept_text string")
         return cut.select("doc_id", (F.col("left") + F.col("n_removed")).alias("n_words"), "n_removed", "kept_sha256", "kept_text")
     # Untouched documents and whole copies need no second look at their text.
-    changed = map_chunks(docs.join(_partly(scratch, plan), "doc_id"), _cut(window), "doc_id long, left long, n_removed long, kept_sha256 string, kept_text string")
+    changed = map_chunks(docs.join(scratch.maybe_broadcast(plan.where("not gone"), of=plan), "doc_id"), _cut(window), "doc_id long, left long, n_removed long, kept_sha256 string, kept_text string")
     partly = changed.select("doc_id", (F.col("left") + F.col("n_removed")).alias("n_words"), "n_removed", "kept_sha256")
     marks = plan.select("doc_id", "gone")
-    rest = base.select("doc_id", "n_words", "sha").join(F.broadcast(marks) if scratch.bytes(plan) <= SMALL_IDS else marks, "doc_id", "left").where("gone is null or gone")
+    rest = base.select("doc_id", "n_words", "sha").join(scratch.maybe_broadcast(marks, ID_BYTES, plan), "doc_id", "left").where("gone is null or gone")
     rest = rest.select("doc_id", "n_words", F.when(F.col("gone"), F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("gone"), F.lit(_EMPTY_SHA)).otherwise(F.col("sha")).alias("kept_sha256"))
     return rest.unionByName(partly)
-
-
-def _partly(scratch: Scratch, plan: DataFrame) -> DataFrame:
-    part = plan.where("not gone")
-    return F.broadcast(part) if scratch.bytes(plan) <= 48 << 20 else part
