@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,7 +107,8 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables written to the shared folder, so that no lost executor takes them along and nothing is computed twice."""
+    """Results that several steps need. Costly ones are written to the shared folder, so that no lost executor takes them
+    along; small or short-lived ones are cached, and a lost part of them is computed again from those tables."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{scratch_root(spark)}/lumenark-{uuid.uuid4().hex}", 0
@@ -120,18 +122,36 @@ class Scratch:
         out._lumenark_path = path
         return out
 
+    def keep_compact(self, df: DataFrame, rows: int = 500_000) -> DataFrame:
+        """As keep, in files of about `rows` rows: for tables of loops, of a size that is known only when they are computed."""
+        held = self.hold(df)
+        out = self.keep(held.coalesce(max(1, -(-held.count() // rows))))
+        held.unpersist()
+        return out
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        """df, cached in memory and beyond it on disk, when an action first runs over it. Not for loops: plans would nest."""
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+
     def drop(self, df: DataFrame) -> None:
-        """Deletes a table that no later step reads."""
-        delete(self.spark, df._lumenark_path)
+        """Gives up a table that no later step reads."""
+        if hasattr(df, "_lumenark_path"):
+            delete(self.spark, df._lumenark_path)
+        else:
+            df.unpersist()
 
     def bytes(self, df: DataFrame) -> int:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(df._lumenark_path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+        """Measured size: of a kept table's files, or of a held one in memory."""
+        if hasattr(df, "_lumenark_path"):
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(df._lumenark_path)
+            return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+        df.count()
+        return int(df.select("*")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
     def maybe_broadcast(self, df: DataFrame, limit: int = BROADCAST_BYTES, of: DataFrame | None = None) -> DataFrame:
-        """df, marked for broadcast only if its files, or those of the kept table it comes from, are within the limit.
+        """df, marked for broadcast only if its size, or that of the table it comes from, is within the limit.
 
-        Beyond it the join shuffles both sides. For tables of ids, which pack well on disk, take ID_BYTES.
+        Beyond it the join shuffles both sides. For kept tables of ids, which pack well on disk, take ID_BYTES.
         """
         return F.broadcast(df) if self.bytes(df if of is None else of) <= limit else df
 

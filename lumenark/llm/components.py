@@ -38,10 +38,10 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     clean = links.select("a", "b").where("a is not null and b is not null and a <> b")
     state, held, seen = clean, None, None
     while True:
-        stars = scratch.keep(_small_star(_large_star(state).where("a <> b").distinct()).where("a <> b").distinct())
+        stars = scratch.keep_compact(_small_star(_large_star(state).where("a <> b").distinct()).where("a <> b").distinct())
+        n, total = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if held is not None:
             scratch.drop(held)
-        n, total = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         state = held = stars
         if (n, total) == seen:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -115,14 +115,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = documents_of(docs, id_col, text_col)
     base = scratch.keep(map_chunks(docs, _describe(bands, rows, width), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
     # Copies first: one representative for each distinct set.
-    classes = scratch.keep(base.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n")))
+    classes = scratch.hold(base.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n")))
     reps = base.join(classes.select("d1", "d2", F.col("id").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi")
     keyed = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = scratch.keep(keyed.join(shared, "key"))
+    members = scratch.keep_compact(keyed.join(scratch.hold(shared), "key"))
     # The full sets of those that share any bucket.
-    wanted = scratch.keep(members.select("id").distinct())
-    sets = scratch.keep(map_chunks(docs.join(scratch.maybe_broadcast(wanted.withColumnRenamed("id", "doc_id"), ID_BYTES, wanted), "doc_id", "left_semi"), _sets(width), "id long, elements array<long>").distinct())
+    wanted = scratch.keep_compact(members.select("id").distinct())
+    sets = scratch.keep(map_chunks(docs.join(scratch.maybe_broadcast(wanted.withColumnRenamed("id", "doc_id"), limit=ID_BYTES, of=wanted), "doc_id", "left_semi"), _sets(width), "id long, elements array<long>"))
     tested = None
     comp = None
     turn = 0
@@ -133,7 +133,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             # Buckets that still hold more than one component, and how many pairs they would give.
             sizes = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
             open_ = sizes.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("k")).where("k > 1")
-            open_ = scratch.keep(open_.select("key", (F.col("all") * F.col("all") - F.col("own")).alias("twice"), "all"))
+            open_ = scratch.keep_compact(open_.select("key", (F.col("all") * F.col("all") - F.col("own")).alias("twice"), "all"))
             left, rows_left = open_.agg(F.sum("twice"), F.sum("all")).first()
             if not left:
                 break
@@ -154,8 +154,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = pairs.where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs)
-        found = scratch.keep(_confirmed(pairs, sets, percent))
+        pairs = scratch.keep_compact(pairs)
+        found = scratch.keep_compact(_confirmed(pairs, sets, percent))
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if comp is None else found.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))
         comp = components(links, scratch)
