@@ -205,19 +205,19 @@ def removal_intervals(docs: DataFrame, scratch: Scratch, window: int = WINDOW, a
     long_ = base.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     first = long_.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c"))
     copied = first.where("c > 1").select("d1", "d2", "first")
-    copies = scratch.keep(long_.select("doc_id", "d1", "d2").join(copied, ["d1", "d2"]).where("doc_id <> first").select("doc_id").distinct())
-    occurrences = long_.select("doc_id", "anchors").join(scratch.maybe_broadcast(copies, ID_BYTES), "doc_id", "left_anti").select("doc_id", F.explode("anchors").alias("k"))
-    repeated = occurrences.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
+    copies = scratch.hold(long_.select("doc_id", "d1", "d2").join(copied, ["d1", "d2"]).where("doc_id <> first").select("doc_id").distinct())
+    occurrences = long_.select("doc_id", "anchors").join(scratch.maybe_broadcast(copies), "doc_id", "left_anti").select("doc_id", F.explode("anchors").alias("k"))
+    repeated = scratch.hold(occurrences.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"))
     hits = scratch.keep(occurrences.join(repeated, "k").groupBy("doc_id").agg(F.collect_set("k").alias("hits")))
     spans = scratch.keep(map_chunks(docs.join(scratch.maybe_broadcast(hits), "doc_id"), _spans(window, anchor), "doc_id long, k long, span long, at int, n int, windows array<long>"))
     scratch.drop(hits)
     own = spans.where("k is null").select("doc_id", "at", "n")
     cross = spans.where("k is not null")
-    settled = cross.groupBy("k", "span").agg(F.min("doc_id").alias("first"))
+    settled = scratch.hold(cross.groupBy("k", "span").agg(F.min("doc_id").alias("first")))
     judged = cross.join(settled, ["k", "span"])
     later = judged.where("doc_id <> first").select("doc_id", "at", "n")
     single = scratch.keep(judged.where("doc_id = first").select("doc_id", "k", F.posexplode("windows").alias("i", "w"), "at").select("k", "w", "doc_id", (F.col("at") + F.col("i")).alias("at")))
-    earliest = single.groupBy("k", "w").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("k", "w", "first")
+    earliest = scratch.hold(single.groupBy("k", "w").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("k", "w", "first"))
     windows = single.join(earliest, ["k", "w"]).where("doc_id <> first").select("doc_id", "at", F.lit(1).alias("n"))
     cuts = own.unionByName(later).unionByName(windows).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("cuts"))
     empty = F.array().cast("array<struct<at:int,n:int>>")
