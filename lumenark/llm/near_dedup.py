@@ -166,3 +166,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = base.select("doc_id", "n_shingles", "d1", "d2").join(mapped, ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, with their columns. Rows with a null doc_id stay."""
+    scratch = Scratch(docs.sparkSession)
+    gone = scratch.keep_compact(near_duplicates(docs, **options).where("not kept").select("doc_id").distinct())
+    return docs.join(scratch.maybe_broadcast(gone, ID_BYTES), "doc_id", "left_anti").select(*docs.columns)

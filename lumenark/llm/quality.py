@@ -117,7 +117,7 @@ def fit(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") > 0).alias("good"))
     held = measured.where(~base_failed(F.col("m"))).join(known, "doc_id")
-    by_rule = [F.struct(F.lit(r).alias("rule"), F.aggregate(F.array(*map(F.lit, cutoffs[r])), F.lit(0), lambda a, c, x=x: a + (x > c).cast("int")).alias("over")) for r, x in scores(F.col("m")).items()]
+    by_rule = [F.struct(F.lit(r).alias("rule"), sum((x > c).cast("int") for c in cutoffs[r]).alias("over")) for r, x in scores(F.col("m")).items()]
     # `over` of the cutoffs are exceeded: the strict end of the sequence first
     counts = held.select("stratum", "good", F.inline(F.array(*by_rule))).groupBy("stratum", "rule", "over").agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad"))
     totals = counts.groupBy("stratum", "rule").agg(F.sum("good").alias("n"), F.collect_list(F.struct("over", "good", "bad")).alias("found"))

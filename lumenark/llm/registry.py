@@ -8,13 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and SQL.
-MODULES = ("queries",)
+MODULES = ("queries", "sql")
 
 
 def _merged(what: str) -> dict:
     out: dict = {}
     for name in MODULES:
-        out |= getattr(importlib.import_module(f"lumenark.llm.{name}"), what)
+        out |= getattr(importlib.import_module(f"lumenark.llm.{name}"), what, {})
     return out
 
 

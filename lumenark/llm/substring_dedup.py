@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import ID_BYTES, Scratch, as_binary, digest, documents_of, gram_hashes, map_chunks, signed, word_hashes
+from lumenark.llm.common import ID_BYTES, Scratch, as_binary, chunks, digest, documents_of, gram_hashes, map_chunks, signed, word_hashes
 
 WINDOW, ANCHOR = 20, 8
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -246,3 +246,41 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = base.select("doc_id", "n_words", "sha").join(scratch.maybe_broadcast(marks, ID_BYTES, plan), "doc_id", "left").where("gone is null or gone")
     rest = rest.select("doc_id", "n_words", F.when(F.col("gone"), F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("gone"), F.lit(_EMPTY_SHA)).otherwise(F.col("sha")).alias("kept_sha256"))
     return rest.unionByName(partly)
+
+
+def _rewrite(names: list[str], window: int):
+    """Replaces the text of rows that have cuts, and its length where a column n_chars has it; other rows pass as they are."""
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch):
+                text = part.column("text").to_pylist()
+                cuts, gone = part.column("_cuts").to_pylist(), part.column("_gone").to_pylist()
+                chars = part.column("n_chars").to_pylist() if "n_chars" in names else None
+                for i, (c, g) in enumerate(zip(cuts, gone, strict=True)):
+                    if not (c or g):
+                        continue
+                    words = text[i].encode().split()
+                    lost = covered(len(words), [x["at"] for x in c], [x["n"] for x in c], window).tolist() if not g else [True] * len(words)
+                    text[i] = b" ".join([w for w, x in zip(words, lost, strict=True) if not x]).decode()
+                    if chars is not None:
+                        chars[i] = len(text[i])
+                new = {"text": pa.array(text, part.schema.field("text").type)}
+                if chars is not None:
+                    new["n_chars"] = pa.array(chars, part.schema.field("n_chars").type)
+                yield pa.RecordBatch.from_arrays([new.get(n, part.column(n)) for n in names], names=names)
+
+    return run
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """The rows of docs with repeated passages cut from their texts and n_chars, if there is one, set to the new length.
+
+    Texts that lose nothing keep their white space; of the others the words left are joined by one space. A document that
+    loses all its words stays, with an empty text.
+    """
+    scratch = Scratch(docs.sparkSession)
+    _, plan = removal_intervals(documents_of(docs), scratch, window, anchor)
+    marks = plan.select("doc_id", F.col("gone").alias("_gone"), F.col("cuts").alias("_cuts"))
+    joined = docs.join(scratch.maybe_broadcast(marks, of=plan), "doc_id", "left").select(*docs.columns, "_gone", "_cuts")
+    return joined.mapInArrow(_rewrite(docs.columns, window), docs.schema)
