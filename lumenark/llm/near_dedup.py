@@ -6,9 +6,11 @@ offset by i; round t + i sends all elements to coordinate i. Each coordinate kee
 concentrates about their similarity.
 
 Bands of four coordinates make buckets. With 40 bands a pair at similarity 0.75 shares no bucket with probability
-(1 - 0.75**4)**40 = 2.5e-7. Inside a bucket no pairs are listed: members are compared with one pivot a round, in as many
-rounds as it takes until the pairs that are still in different components are few for the bucket's size; only these are
-then compared one by one. So every link that could still join two components is tested on the full sets.
+(1 - 0.75**4)**40 = 2.5e-7. Inside a bucket members are first compared with one pivot a round, which joins most of a group by as many
+comparisons as it has members. What is left in different components is then compared pair by pair, but only where the
+sizes, the elements that stand in no other set, and the parity of the elements at each of 1024 places leave room for the
+similarity asked for; these bounds are exact and cost a few operations a pair. So every link that could still
+join two components is tested on the full sets.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from lumenark.llm.common import ID_BYTES, Scratch, as_binary, digest, documents_
 from lumenark.llm.components import components
 
 WIDTH, PERCENT, BANDS, ROWS = 5, 75, 40, 4
+PARITY_WORDS = 16
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -67,6 +70,15 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
+def parities(elements: np.ndarray) -> np.ndarray:
+    """Whether an even or odd number of elements falls to each of 1024 places, as 16 longs.
+
+    Two sets' bits differ in at most as many places as elements stand in only one of the sets.
+    """
+    odd = np.bincount(elements.view(np.uint64).astype(np.uint64) & np.uint64(64 * PARITY_WORDS - 1), minlength=64 * PARITY_WORDS) & 1 if len(elements) else np.zeros(64 * PARITY_WORDS, np.int64)
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _describe(bands: int, rows: int, width: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(x, width) for x in as_binary(batch.column("text")).to_pylist()]
@@ -88,7 +100,9 @@ def _sets(width: int):
         sets = [shingle_set(x, width).view(np.int64) for x in as_binary(batch.column("text")).to_pylist()]
         ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["id", "elements"])
+        words = np.concatenate([parities(s) for s in sets])
+        marks = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * PARITY_WORDS), pa.array(words))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, marks], names=["id", "elements", "parity"])
 
     return run
 
@@ -122,13 +136,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = scratch.keep_compact(keyed.join(scratch.hold(shared), "key"))
     # The full sets of those that share any bucket.
     wanted = scratch.keep_compact(members.select("id").distinct())
-    sets = scratch.keep(map_chunks(docs.join(scratch.maybe_broadcast(wanted.withColumnRenamed("id", "doc_id"), limit=ID_BYTES, of=wanted), "doc_id", "left_semi"), _sets(width), "id long, elements array<long>"))
+    sets = scratch.keep(map_chunks(docs.join(scratch.maybe_broadcast(wanted.withColumnRenamed("id", "doc_id"), limit=ID_BYTES, of=wanted), "doc_id", "left_semi"), _sets(width), "id long, elements array<long>, parity array<long>"))
+    # An element that no other of these sets has can be in no intersection. What a set has besides such elements, `c`,
+    # bounds its intersections, so most members of a bucket that are too far apart never become a pair.
+    alone = sets.select("id", F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("u"))
+    able = scratch.keep_compact(members.join(alone, "id", "left").withColumn("c", F.col("n") - F.coalesce("u", F.lit(0))).where(F.col("c") * 100 >= F.col("n") * percent).select("key", "id", "n", "c"))
+    members = able.join(scratch.hold(able.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")), "key")
     tested = None
     comp = None
     turn = 0
     while True:
         now = members if comp is None else members.join(comp.withColumnRenamed("node", "id"), "id", "left")
-        now = now.select("key", "id", "n", (F.col("id") if comp is None else F.coalesce("component", "id")).alias("comp"))
+        now = now.select("key", "id", "n", "c", (F.col("id") if comp is None else F.coalesce("component", "id")).alias("comp"))
         if comp is not None:
             # Buckets that still hold more than one component, and how many pairs they would give.
             sizes = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
@@ -138,9 +157,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if not left:
                 break
             now = now.join(open_.select("key"), "key")
-            if left // 2 <= 16 * rows_left or turn >= 8:
-                one, two = (now.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "comp"))) for s in "ab")
-                pairs = one.join(two, "key").where("id_a < id_b and comp_a <> comp_b")
+            if left // 2 <= 16 * rows_left or turn >= 2:
+                marked = now.join(sets.select("id", "parity"), "id")
+                one, two = (marked.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "c", "comp", "parity"))) for s in "ab")
+                # at least so many elements stand in only one of the two sets; the similarity allows but a share of both
+                apart = sum(F.bit_count(F.get("parity_a", F.lit(i)).bitwiseXOR(F.get("parity_b", F.lit(i)))) for i in range(PARITY_WORDS))
+                pairs = one.join(two, "key").where("id_a < id_b and comp_a <> comp_b").where(apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
                 last = True
             else:
                 last = False
@@ -148,9 +170,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             last = False
         if not last:
             order = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
-            pivots = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "comp")).alias("p"))
-            pairs = now.join(pivots, "key").where("comp <> p.comp").select(F.least("id", "p.id").alias("id_a"), F.greatest("id", "p.id").alias("id_b"), F.col("n").alias("n_a"), F.col("p.n").alias("n_b"))
-        fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+            pivots = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "c", "comp")).alias("p"))
+            pairs = now.join(pivots, "key").where("comp <> p.comp").select(F.least("id", "p.id").alias("id_a"), F.greatest("id", "p.id").alias("id_b"), F.col("n").alias("n_a"), F.col("p.n").alias("n_b"), F.col("c").alias("c_a"), F.col("p.c").alias("c_b"))
+        # 100 * k >= percent * (n_a + n_b - k) for the largest intersection k there can be
+        fits = F.least("c_a", "c_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
         pairs = pairs.where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
