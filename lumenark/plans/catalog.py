@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with QUERIES (name to function) and SQL (name to text).
-MODULES: tuple[str, ...] = ("scalar_queries", "loss_queries")
+MODULES: tuple[str, ...] = ("scalar_queries", "loss_queries", "vector_queries", "series_queries")
 
 
 def _merged(what: str) -> dict:
@@ -30,4 +30,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["loss_mse"](spark, sf_dir)
+    return queries()["agg_moments"](spark, sf_dir)
