@@ -1,19 +1,23 @@
 """Token ids of whole texts by a byte-level BPE vocabulary file, through the tokenizers library.
 
-Byte-level BPE encodes each pre-token by itself, so the ids of a text are the ids of its pre-tokens, one after another.
-Pre-tokens seen before in a task come from a memo of bounded size; the others are encoded in one call.
+Byte-level BPE encodes each pre-token by itself, and no pre-token reaches over a space into the word before it. So the ids
+of a text are those of its words, each with the space before it, and the ids of a word those of its pre-tokens. Words and
+pre-tokens seen before in a task come from memos of bounded size; new pre-tokens are encoded in one call. Texts with
+rows of white space around spaces, or with control characters, where the rule does not hold, are encoded as a whole.
 """
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
 
-#: Entries of the memo; it is emptied when full.
-MEMO = 300_000
-_NEWLINE = 198
+#: Entries of each memo; when one is full, only entries of up to KEPT characters stay. Longer words are not kept at all.
+MEMO, KEPT, LONGEST = 700_000, 8, 48
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f]")
 _open: dict[str, Encoder] = {}
 
 
@@ -30,36 +34,79 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a text that spells a special token is ordinary text
         self.split = regex.compile(PATTERN).findall
-        self.memo: dict[str, bytes] = {}
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.width = int(self.kind[-1])
+        self.words: dict[str, bytes] = {}
+        self.pretokens: dict[str, bytes] = {}
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.joins = newline == [_NEWLINE]
+        self.newline = newline[0] if len(newline) == 1 else None
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Encodes pre-tokens: those without a line break joined by line breaks, each of which is a pre-token of its own."""
-        plain = [w for w in new if not any(c.isspace() for c in w.removeprefix(" ")) and w != " "] if self.joins else []
+        """Encodes pre-tokens: those that are not white space joined by line breaks, each of which is a pre-token of its own."""
+        plain = [w for w in new if not w.isspace()] if self.newline is not None else []
         if plain:
-            ids = np.array(self.tokenizer.encode("\n".join(plain), add_special_tokens=False).ids, "<u4")
-            at = np.flatnonzero(ids == _NEWLINE)
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, self.kind)
+            at = np.flatnonzero(ids == self.newline)
             if len(at) == len(plain) - 1:
-                data, ends = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-                begin = 0
+                data, ends, begin = ids.tobytes(), [*(self.width * at).tolist(), self.width * len(ids)], 0
                 for w, end in zip(plain, ends, strict=True):
-                    self.memo[w] = data[begin:end]
-                    begin = end + 4
-        rest = [w for w in new if w not in self.memo]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.memo[w] = np.array(e.ids, "<u4").tobytes()
+                    self.pretokens[w] = data[begin:end]
+                    begin = end + self.width
+        rest = [w for w in new if w not in self.pretokens]
+        self.pretokens.update(zip(rest, self._ids(rest), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        parts = [self.split(t) if t else [] for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = {w for p in parts for w in p if w not in memo}
-        if new:
-            self._learn(list(new))
-        return [b"".join([memo[w] for w in p]) for p in parts]
+        """The ids of each text as little-endian unsigned integers of self.width bytes; null counts as empty."""
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and the collector would go through the memos again and again
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        for name in ("words", "pretokens"):
+            memo = getattr(self, name)
+            if len(memo) > MEMO:
+                kept = {w: x for w, x in memo.items() if len(w) <= KEPT}
+                setattr(self, name, kept if len(kept) < MEMO // 2 else {})
+        words, pretokens = self.words, self.pretokens
+        parts = [t.split(" ") if t else None for t in texts]
+        new = set().union(*filter(None, parts)).difference(words)
+        # a word that begins with white space, or is empty, may belong to a row of white space; such texts go as a whole
+        odd = {w for w in new if not w or w[0].isspace() or _CONTROL.search(w)}
+        heads = {p[0]: self.split(p[0]) for p in parts if p}
+        pieces = {w: self.split(" " + w) for w in new if w not in odd}
+        unknown = {x for v in (*pieces.values(), *heads.values()) for x in v}.difference(pretokens)
+        if unknown:
+            self._learn(list(unknown))
+        long = []
+        for w, v in pieces.items():
+            words[w] = pretokens[v[0]] if len(v) == 1 else b"".join([pretokens[x] for x in v])
+            if len(w) > LONGEST:
+                long.append(w)
+        whole = [i for i, p in enumerate(parts) if p and not odd.isdisjoint(p)] if odd else []
+        direct = dict(zip(whole, self._ids([texts[i] for i in whole]), strict=True)) if whole else {}
+        out, get = [], words.__getitem__
+        for i, p in enumerate(parts):
+            if not p:
+                out.append(b"")
+            elif i in direct:
+                out.append(direct[i])
+            else:
+                ids = list(map(get, p))
+                ids[0] = b"".join([pretokens[x] for x in heads[p[0]]])
+                out.append(b"".join(ids))
+        for w in long:
+            del words[w]
+        for x in unknown:
+            if len(x) > LONGEST:
+                del pretokens[x]
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -74,23 +121,19 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def narrow(ids: bytes) -> bytes:
-    """Ids below 65536 as unsigned 16-bit integers, else unchanged; the length of the document tells which."""
-    wide = np.frombuffer(ids, "<u4")
-    return wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 65536 else ids
-
-
 def widen(data: bytes, n: int) -> np.ndarray:
+    """n ids as unsigned 32-bit integers, from 16 or 32 bits each; their number tells which."""
     return np.frombuffer(data, "<u2").astype("<u4") if len(data) == 2 * n else np.frombuffer(data, "<u4")
 
 
 def encoded_batch(path: str, end_id: int):
-    """For map_chunks: doc_id, any carried columns, n_tokens and ids (narrowed), the end id appended to each document."""
-    tail = np.array([end_id], "<u4").tobytes()
+    """For map_chunks: the other columns, n_tokens and ids (of the vocabulary's width), end_id appended to each document."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [x + tail for x in encoder(path).encode(batch.column("text").to_pylist())]
+        e = encoder(path)
+        tail = np.array([end_id], e.kind).tobytes()
+        ids = [x + tail for x in e.encode(batch.column("text").to_pylist())]
         carried = [n for n in batch.schema.names if n != "text"]
-        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in carried), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([narrow(x) for x in ids], pa.binary())], names=[*carried, "n_tokens", "ids"])
+        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in carried), pa.array([len(x) // e.width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*carried, "n_tokens", "ids"])
 
     return run
