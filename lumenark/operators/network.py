@@ -21,7 +21,8 @@ class Network:
         out = [x]
         for i, (w, b) in enumerate(self.layers):
             x = x @ w + b
-            out.append(np.maximum(x, 0) if i + 1 < len(self.layers) else x)
+            x = np.maximum(x, 0) if i + 1 < len(self.layers) else x
+            out.append(x)
         return out
 
     def gradients(self, x: np.ndarray, t: np.ndarray, loss: str) -> tuple[float, list[tuple[np.ndarray, np.ndarray]]]:
