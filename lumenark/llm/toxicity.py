@@ -1,8 +1,8 @@
 """Toxic severity by cumulative-link ordinal regression on sparse text features.
 
 P(grade <= k) = sigmoid(cut_k - w . x) with one weight vector for all ordered cuts; the expected severity is the sum over
-k of P(grade > k). Features are the distinct words of a text (lower case, ASCII punctuation apart), hashed to 2**20 places;
-those whose counts tell the grades apart are kept. The model is fitted on a bounded sample of labelled documents
+k of P(grade > k). Features are the distinct words of a text (lower case, ASCII punctuation apart) and their first STEM bytes,
+hashed to 2**20 places; those whose counts tell the grades apart are kept. The model is fitted on a bounded sample of labelled documents
 (SAMPLE rows, chosen by a hash of the id), on the driver; scoring is one pass over all texts.
 
 The labels say only whether a text is toxic. Toxic texts are graded by the share of their words that mark toxic texts in
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lumenark.llm.common import ID_BYTES, Scratch, as_binary, documents_of, map_chunks, word_hashes
 
 #: Labelled rows for the fit, half of them toxic where there are so many; feature places; features kept; grades above 0.
-SAMPLE, BITS, FEATURES, GRADES = 16_000, 20, 4096, 3
+SAMPLE, BITS, FEATURES, GRADES, STEM = 16_000, 20, 4096, 3, 5
 _APART = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 
 
@@ -30,7 +30,15 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def places(words: list[bytes]) -> np.ndarray:
-    return (word_hashes(words) >> np.uint64(64 - BITS)).astype(np.int64)
+    """Places of the distinct words, and of the beginnings of the longer ones, which stand for their stems."""
+    distinct = set(words)
+    stems = {b"^" + w[:STEM] for w in distinct if len(w) > STEM}
+    return (word_hashes([*distinct, *stems]) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def places_of_each(words: list[bytes]) -> np.ndarray:
+    """As places, for every occurrence."""
+    return (word_hashes([*words, *(b"^" + w[:STEM] for w in words if len(w) > STEM)]) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 @dataclass
@@ -65,7 +73,7 @@ def marking(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, features: int
     return best, odds[best]
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, n_cuts: int, rounds: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, n_cuts: int, rounds: int = 500, rate: float = 0.05, l2: float = 5e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and cuts by Adam on the mean negative log likelihood; cuts stay ordered as a first cut and positive steps."""
     n = len(grades)
     share = np.array([np.clip((grades > k).mean(), 1e-3, 1 - 1e-3) for k in range(n_cuts)])
@@ -92,10 +100,12 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_featur
 def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
     sets, counts, totals = [], [], []
     for text in batch.column("text").to_pylist():
-        p, c = np.unique(places(words_of(text)), return_counts=True)
+        words = words_of(text)
+        p = np.unique(places(words))
         sets.append(p.astype(np.int32))
-        counts.append(c.astype(np.int32))
-        totals.append(int(c.sum()))
+        # how often the word or stem at each place occurs
+        counts.append(np.bincount(np.searchsorted(p, places_of_each(words)), minlength=len(p)).astype(np.int32))
+        totals.append(len(words))
     ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
     return pa.RecordBatch.from_arrays(
         [batch.column("toxic"), batch.column("grade"), pa.array(totals, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(counts)))],
