@@ -107,8 +107,8 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Results that several steps need. Costly ones are written to the shared folder, so that no lost executor takes them
-    along; small or short-lived ones are cached, and a lost part of them is computed again from those tables."""
+    """Results that several steps need. What loops pass on is written to the shared folder, which cuts lineage; what is
+    one step from the input is held by the executors, and a part lost with one of them is computed again."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{scratch_root(spark)}/lumenark-{uuid.uuid4().hex}", 0
@@ -129,9 +129,12 @@ class Scratch:
         held.unpersist()
         return out
 
-    def hold(self, df: DataFrame) -> DataFrame:
-        """df, cached in memory and beyond it on disk, when an action first runs over it. Not for loops: plans would nest."""
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    def hold(self, df: DataFrame, large: bool = False) -> DataFrame:
+        """df, computed once when an action first runs over it: in memory and beyond it on disk, or, if large, on disk only.
+
+        A part that is lost with its executor is computed again from its own input. Not for loops: plans would nest.
+        """
+        return df.persist(StorageLevel.DISK_ONLY if large else StorageLevel.MEMORY_AND_DISK)
 
     def drop(self, df: DataFrame) -> None:
         """Gives up a table that no later step reads."""

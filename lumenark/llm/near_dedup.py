@@ -127,7 +127,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = documents_of(docs, id_col, text_col)
-    base = scratch.keep(map_chunks(docs, _describe(bands, rows, width), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
+    base = scratch.hold(map_chunks(docs, _describe(bands, rows, width), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), large=True)
     # Copies first: one representative for each distinct set.
     classes = scratch.hold(base.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n")))
     reps = base.join(classes.select("d1", "d2", F.col("id").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi")
@@ -136,7 +136,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = scratch.keep_compact(keyed.join(scratch.hold(shared), "key"))
     # The full sets of those that share any bucket.
     wanted = scratch.keep_compact(members.select("id").distinct())
-    sets = scratch.keep(map_chunks(docs.join(scratch.maybe_broadcast(wanted.withColumnRenamed("id", "doc_id"), limit=ID_BYTES, of=wanted), "doc_id", "left_semi"), _sets(width), "id long, elements array<long>, parity array<long>"))
+    sets = scratch.hold(map_chunks(docs.join(scratch.maybe_broadcast(wanted.withColumnRenamed("id", "doc_id"), limit=ID_BYTES, of=wanted), "doc_id", "left_semi"), _sets(width), "id long, elements array<long>, parity array<long>"), large=True)
     # An element that no other of these sets has can be in no intersection. What a set has besides such elements, `c`,
     # bounds its intersections, so most members of a bucket that are too far apart never become a pair.
     alone = sets.select("id", F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("u"))

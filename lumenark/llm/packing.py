@@ -120,12 +120,12 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window
     scratch = Scratch(docs.sparkSession)
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("")) if source_col in docs.columns else F.lit("")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), source.alias("source"), F.col(text_col).alias("text"))
-    encoded = scratch.keep(map_chunks(chosen, encoded_batch(vocabulary or default_path(), end_id), "doc_id long, source string, n_tokens long, ids binary"))
+    encoded = scratch.hold(map_chunks(chosen, encoded_batch(vocabulary or default_path(), end_id), "doc_id long, source string, n_tokens long, ids binary"), large=True)
     total = encoded.agg(F.sum("n_tokens")).first()[0] or 0
     buckets = max(1, -(-total // bucket_tokens))
     order = F.xxhash64("doc_id", "source", F.crc32("ids"))
     dealt = encoded.withColumns({"order": order, "bucket": F.pmod(order, F.lit(buckets))})
-    held = scratch.keep(dealt.groupBy("bucket", "source").agg(F.sum("n_tokens").alias("n")))
+    held = scratch.hold(dealt.groupBy("bucket", "source").agg(F.sum("n_tokens").alias("n")))
     shares = held.groupBy("source").agg((F.sum("n") / max(total, 1)).alias("share"))
     if weights is not None:
         listed = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)) if weights else F.create_map().cast("map<string,double>")
@@ -137,6 +137,6 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window
     earlier = blocks.select("block", (F.sum("b").over(Window.orderBy("block")) - F.col("b")).alias("b"))
     before = every.withColumn("block", block).join(F.broadcast(earlier), "block").select("bucket", (F.sum("all").over(Window.partitionBy("block").orderBy("bucket")) - F.col("all") + F.col("b")).alias("before"))
     own = held.select("bucket", "source", (F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("own"))
-    carry = own.join(before, "bucket").join(shares, "source").select("bucket", "source", "share", (F.col("share") * F.col("before") - F.col("own")).alias("owed"))
+    carry = own.join(before, "bucket").join(shares, "source").select(F.col("bucket").alias("bucket"), F.col("source").alias("source"), "share", (F.col("share") * F.col("before") - F.col("own")).alias("owed"))
     schema = PIECES + (", ids binary" if with_ids else "")
     return dealt.groupBy("bucket").cogroup(carry.groupBy("bucket")).applyInPandas(_packed(window, min_piece, with_ids), schema)

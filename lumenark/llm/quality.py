@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenark.llm.common import ID_BYTES, Scratch
+from lumenark.llm.common import Scratch
 
 SPACE = " \t\n\x0b\x0c\r"
 SPLIT = "[\\x20\\x09-\\x0D]+"
@@ -164,8 +164,8 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str | None = "
     tables give an empty result, an empty label table certifies no cutoff.
     """
     scratch = Scratch(docs.sparkSession)
-    measured = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), stratum_of(docs, stratum).alias("stratum"), measures(F.col("text")).alias("m")))
-    cutoffs = scratch.keep(fit(measured, labels, **options))
+    measured = scratch.hold(docs.select(F.col("doc_id").cast("long").alias("doc_id"), stratum_of(docs, stratum).alias("stratum"), measures(F.col("text")).alias("m")))
+    cutoffs = scratch.hold(fit(measured, labels, **options))
     out = judge(measured, scratch.maybe_broadcast(cutoffs))
     return out.select("doc_id", "stratum", *(F.col(f"m.{x}").alias(x) for x in BASE), "base_failed", "kept")
 
@@ -173,9 +173,9 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str | None = "
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", **options) -> DataFrame:
     """The rows of docs that pass, with their columns. Cutoffs come from the labelled documents; texts are not shuffled."""
     scratch = Scratch(docs.sparkSession)
-    known = scratch.keep(labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")))
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), stratum_of(docs, stratum).alias("stratum"), "text").join(scratch.maybe_broadcast(known.select("doc_id"), ID_BYTES, known), "doc_id", "left_semi")
-    measured = scratch.keep(labelled.select("doc_id", "stratum", measures(F.col("text")).alias("m")))
-    cutoffs = scratch.keep(fit(measured, known, **options))
+    known = scratch.hold(labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")))
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), stratum_of(docs, stratum).alias("stratum"), "text").join(scratch.maybe_broadcast(known.select("doc_id"), of=known), "doc_id", "left_semi")
+    measured = scratch.hold(labelled.select("doc_id", "stratum", measures(F.col("text")).alias("m")))
+    cutoffs = scratch.hold(fit(measured, known, **options))
     rows = docs.select(F.struct(*docs.columns).alias("row"), stratum_of(docs, stratum).alias("stratum"), measures(F.col("text")).alias("m"))
     return judge(rows, scratch.maybe_broadcast(cutoffs)).where("kept").select("row.*")
