@@ -1,9 +1,10 @@
 """Token ids of whole texts by a byte-level BPE vocabulary file, through the tokenizers library.
 
-Byte-level BPE encodes each pre-token by itself, and no pre-token reaches over a space into the word before it. So the ids
-of a text are those of its words, each with the space before it, and the ids of a word those of its pre-tokens. Words and
-pre-tokens seen before in a task come from memos of bounded size; new pre-tokens are encoded in one call. Texts with
-rows of white space around spaces, or with control characters, where the rule does not hold, are encoded as a whole.
+Byte-level BPE encodes each pre-token by itself, and no pre-token reaches over a space into the word before it, nor over a
+single line break between two words. So the ids of a text are those of its words, each with the space before it. Words
+seen before in a task come from a memo of bounded size; all new words of a batch are encoded in one call, joined by line
+breaks, whose own id tells where each ends. Texts with other white space, or with control characters, where the rule does
+not hold, are encoded as a whole.
 """
 
 from __future__ import annotations
@@ -11,13 +12,15 @@ from __future__ import annotations
 import gc
 import os
 import re
+from itertools import compress, count
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
 
-#: Entries of each memo; when one is full, only entries of up to KEPT characters stay. Longer words are not kept at all.
-MEMO, KEPT, LONGEST = 700_000, 8, 48
-_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f]")
+#: Entries of the memo; when it is full, only words of up to KEPT characters stay. Longer words than LONGEST are not kept.
+MEMO, KEPT, LONGEST = 1_100_000, 8, 48
+_ODD = re.compile(r"[\s\x00-\x1f\x7f-\x9f]")
 _open: dict[str, Encoder] = {}
 
 
@@ -26,42 +29,38 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
-        from public_tokenizers import PATTERN
-
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a text that spells a special token is ordinary text
-        self.split = regex.compile(PATTERN).findall
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = int(self.kind[-1])
-        self.words: dict[str, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.newline = newline[0] if len(newline) == 1 else None
+        self.line = np.array(newline, self.kind).tobytes()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Encodes pre-tokens: those that are not white space joined by line breaks, each of which is a pre-token of its own."""
-        plain = [w for w in new if not w.isspace()] if self.newline is not None else []
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, self.kind)
+    def _each(self, words: list[str]) -> list[bytes]:
+        """The ids of words without white space but a leading space, in one call."""
+        if words and self.newline is not None:
+            runs = ["\n".join(words[i : i + 1000]) + "\n" * (i + 1000 < len(words)) for i in range(0, len(words), 1000)]
+            ids = np.concatenate([np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)])
             at = np.flatnonzero(ids == self.newline)
-            if len(at) == len(plain) - 1:
-                data, ends, begin = ids.tobytes(), [*(self.width * at).tolist(), self.width * len(ids)], 0
-                for w, end in zip(plain, ends, strict=True):
-                    self.pretokens[w] = data[begin:end]
+            if len(at) == len(words) - 1:
+                data, begin, out = ids.tobytes(), 0, []
+                for end in [*(self.width * at).tolist(), self.width * len(ids)]:
+                    out.append(data[begin:end])
                     begin = end + self.width
-        rest = [w for w in new if w not in self.pretokens]
-        self.pretokens.update(zip(rest, self._ids(rest), strict=True))
+                return out
+        return self._ids(words)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of self.width bytes; null counts as empty."""
         collecting = gc.isenabled()
-        gc.disable()  # nothing here is cyclic, and the collector would go through the memos again and again
+        gc.disable()  # nothing here is cyclic, and the collector would go through the memo again and again
         try:
             return self._encode(texts)
         finally:
@@ -69,43 +68,60 @@ class Encoder:
                 gc.enable()
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
-        for name in ("words", "pretokens"):
-            memo = getattr(self, name)
-            if len(memo) > MEMO:
-                kept = {w: x for w, x in memo.items() if len(w) <= KEPT}
-                setattr(self, name, kept if len(kept) < MEMO // 2 else {})
-        words, pretokens = self.words, self.pretokens
+        if len(self.memo) > MEMO:
+            kept = {w: x for w, x in self.memo.items() if len(w) <= KEPT}
+            self.memo = kept if len(kept) < MEMO // 2 else {}
+        memo = self.memo
         parts = [t.split(" ") if t else None for t in texts]
-        new = set().union(*filter(None, parts)).difference(words)
-        # a word that begins with white space, or is empty, may belong to a row of white space; such texts go as a whole
-        odd = {w for w in new if not w or w[0].isspace() or _CONTROL.search(w)}
-        heads = {p[0]: self.split(p[0]) for p in parts if p}
-        pieces = {w: self.split(" " + w) for w in new if w not in odd}
-        unknown = {x for v in (*pieces.values(), *heads.values()) for x in v}.difference(pretokens)
-        if unknown:
-            self._learn(list(unknown))
-        long = []
-        for w, v in pieces.items():
-            words[w] = pretokens[v[0]] if len(v) == 1 else b"".join([pretokens[x] for x in v])
-            if len(w) > LONGEST:
-                long.append(w)
-        whole = [i for i, p in enumerate(parts) if p and not odd.isdisjoint(p)] if odd else []
+        # one look-up for each word; only places without an answer are looked at again
+        rows = [list(map(memo.get, p)) if p else None for p in parts]
+        gaps: list[list[int]] = []
+        new: set[str] = set()
+        for p, ids in zip(parts, rows, strict=True):
+            if ids is None:
+                gaps.append([])
+                continue
+            ids[0] = self.line
+            gaps.append(list(compress(count(), map(not_, ids))))
+            new.update(map(p.__getitem__, gaps[-1]))
+        odd, lines, ask = set(), {}, []
+        for w in new:
+            if not w:
+                odd.add(w)
+            elif not _ODD.search(w):
+                ask.append(w)
+            else:  # single line breaks between words, or something else
+                pieces = w.split("\n")
+                if all(pieces) and not any(map(_ODD.search, pieces)):
+                    lines[w] = pieces
+                else:
+                    odd.add(w)
+        heads = {p[0]: p[0].split("\n") if p[0] else [] for p in parts if p}
+        odd_heads = {h for h, v in heads.items() if not all(v) or any(map(_ODD.search, v))}
+        bare = list({x for v in lines.values() for x in v[1:]}.union(x for h, v in heads.items() if h not in odd_heads for x in v))
+        first = list({v[0] for v in lines.values()}.difference(memo, ask))
+        got = self._each([*(" " + w for w in ask), *(" " + w for w in first), *bare])
+        memo.update(zip(ask, got, strict=False))
+        memo.update(zip(first, got[len(ask) :], strict=False))
+        plain = dict(zip(bare, got[len(ask) + len(first) :], strict=True))
+        for w, v in lines.items():
+            memo[w] = self.line.join([memo[v[0]], *(plain[x] for x in v[1:])])
+        whole = [i for i, p in enumerate(parts) if p and (p[0] in odd_heads or (odd and not odd.isdisjoint(p[1:])))]
         direct = dict(zip(whole, self._ids([texts[i] for i in whole]), strict=True)) if whole else {}
-        out, get = [], words.__getitem__
-        for i, p in enumerate(parts):
-            if not p:
+        out = []
+        for i, (p, ids) in enumerate(zip(parts, rows, strict=True)):
+            if ids is None:
                 out.append(b"")
             elif i in direct:
                 out.append(direct[i])
             else:
-                ids = list(map(get, p))
-                ids[0] = b"".join([pretokens[x] for x in heads[p[0]]])
+                for k in gaps[i]:
+                    ids[k] = memo[p[k]]
+                ids[0] = self.line.join([plain[x] for x in heads[p[0]]])
                 out.append(b"".join(ids))
-        for w in long:
-            del words[w]
-        for x in unknown:
-            if len(x) > LONGEST:
-                del pretokens[x]
+        for w in [*ask, *first, *lines]:
+            if len(w) > LONGEST:
+                del memo[w]
         return out
 
 
