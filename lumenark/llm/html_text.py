@@ -38,7 +38,7 @@ SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search di
 SKIPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer "
     "masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
-    "comment comments disqus respond replies reply pagination pager toolbar skip hidden".split()
+    "comment comments commentlist disqus respond replies reply pagination pager toolbar skip hidden adsbygoogle adbox adslot cookiebar cookiebanner navmenu topnav sidenav sitenav sitefooter siteheader".split()
 )
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()),
@@ -209,13 +209,12 @@ def article_text(page: str | None) -> str:
     if not total:
         return " ".join(b.text for b in blocks if b.element.article)
     if 2 * marked >= total:  # the page says which part is its article
-        held = [b for b in blocks if b.element.article]
-    else:
-        around = [elements[k] for k, w in weight.items() if w >= HOLDS * total]
-        smallest = max(around, key=lambda e: e.path.count("/"))
-        while smallest.tag in ("p", "li", "h1", "h2", "h3", "td") and smallest.parent is not None:
-            smallest = smallest.parent
-        held = [b for b in blocks if _within(b.element, smallest)]
+        return " ".join(b.text for b in blocks if b.element.article)
+    around = [elements[k] for k, w in weight.items() if w >= HOLDS * total]
+    smallest = max(around, key=lambda e: e.path.count("/"))
+    while smallest.tag in ("p", "li", "h1", "h2", "h3", "td") and smallest.parent is not None:
+        smallest = smallest.parent
+    held = [b for b in blocks if _within(b.element, smallest)]
     chars, linked, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for b in held:
         chars[b.element.path] += len(b.text)
