@@ -40,13 +40,18 @@ def encode_planes(ids: np.ndarray, block: int = BLOCK, level: int = LEVEL) -> by
     for at in range(0, len(ids), block):
         part = np.ascontiguousarray(ids[at : at + block], "<u4")
         planes = int(part.max()).bit_length()
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :planes]
+        bits = np.unpackbits(_bytes(part, planes), axis=1, bitorder="little")[:, :planes]
         packed = [packer.compress(p.tobytes()) for p in np.packbits(np.ascontiguousarray(bits.T), axis=1)] if planes else []
         index.append(struct.pack(f"<B{planes}I", planes, *map(len, packed)))
         body += packed
     return b"".join([_HEAD.pack(MAGIC, block, len(index), len(ids)), *index, *body])
 
 
+def _bytes(ids: np.ndarray, planes: int) -> np.ndarray:
+    """The bytes of each id, as a row; two are enough for up to 16 planes."""
+    return ids.astype("<u2").view(np.uint8).reshape(-1, 2) if planes <= 16 else ids.view(np.uint8).reshape(-1, 4)
+
+
 def decode_planes(data: bytes) -> np.ndarray:
     """The ids of a segment. A value that is cut short or not of this format raises ValueError."""
     if len(data) < _HEAD.size or data[:4] != MAGIC:
@@ -68,9 +73,10 @@ def decode_planes(data: bytes) -> np.ndarray:
             at += size
         if rows:
             bits = np.unpackbits(np.stack(rows), axis=1, count=len(part)).T
-            wide = np.zeros((len(part), 32), np.uint8)
+            width = 16 if len(rows) <= 16 else 32
+            wide = np.zeros((len(part), width), np.uint8)
             wide[:, : len(rows)] = bits
-            part[:] = np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
+            part[:] = np.packbits(wide, axis=1, bitorder="little").view(f"<u{width // 8}").ravel()
     return out
 
 
