@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import Scratch, as_binary, chunks, digest, documents_of, gram_hashes, map_chunks, signed, word_hashes
+from lumenark.llm.common import ID_BYTES, Scratch, as_binary, chunks, digest, documents_of, gram_hashes, map_chunks, signed, word_hashes
 
 WINDOW, ANCHOR = 20, 8
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -201,15 +201,15 @@ def removal_intervals(docs: DataFrame, scratch: Scratch, window: int = WINDOW, a
     that lose a word have a row. Rows that repeat a doc_id count as one document and remove nothing from each other; rows
     with a null doc_id neither lose words nor cause it.
     """
-    base = scratch.hold(map_chunks(docs, _describe(window, anchor), "doc_id long, n_words long, d1 long, d2 long, sha string, anchors array<long>"), large=True)
+    base = scratch.keep(map_chunks(docs, _describe(window, anchor), "doc_id long, n_words long, d1 long, d2 long, sha string, anchors array<long>"))
     long_ = base.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     first = long_.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c"))
     copied = first.where("c > 1").select("d1", "d2", "first")
     copies = scratch.hold(long_.select("doc_id", "d1", "d2").join(copied, ["d1", "d2"]).where("doc_id <> first").select("doc_id").distinct())
     occurrences = long_.select("doc_id", "anchors").join(scratch.maybe_broadcast(copies), "doc_id", "left_anti").select("doc_id", F.explode("anchors").alias("k"))
     repeated = scratch.hold(occurrences.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"))
-    hits = scratch.hold(occurrences.join(repeated, "k").groupBy("doc_id").agg(F.collect_set("k").alias("hits")))
-    spans = scratch.hold(map_chunks(docs.join(scratch.maybe_broadcast(hits), "doc_id"), _spans(window, anchor), "doc_id long, k long, span long, at int, n int, windows array<long>"), large=True)
+    hits = scratch.keep_compact(occurrences.join(repeated, "k").groupBy("doc_id").agg(F.collect_set("k").alias("hits")), 100_000)
+    spans = scratch.keep(map_chunks(docs.join(scratch.maybe_broadcast(hits), "doc_id"), _spans(window, anchor), "doc_id long, k long, span long, at int, n int, windows array<long>"))
     own = spans.where("k is null").select("doc_id", "at", "n")
     cross = spans.where("k is not null")
     settled = scratch.hold(cross.groupBy("k", "span").agg(F.min("doc_id").alias("first")))
@@ -221,7 +221,7 @@ def removal_intervals(docs: DataFrame, scratch: Scratch, window: int = WINDOW, a
     cuts = own.unionByName(later).unionByName(windows).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("cuts"))
     empty = F.array().cast("array<struct<at:int,n:int>>")
     plan = cuts.select("doc_id", F.lit(False).alias("gone"), "cuts").unionByName(copies.select("doc_id", F.lit(True).alias("gone"), empty.alias("cuts")))
-    return base, scratch.hold(plan.groupBy("doc_id").agg(F.max("gone").alias("gone"), F.flatten(F.collect_list("cuts")).alias("cuts")))
+    return base, scratch.keep_compact(plan.groupBy("doc_id").agg(F.max("gone").alias("gone"), F.flatten(F.collect_list("cuts")).alias("cuts")), 200_000)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = True) -> DataFrame:
@@ -242,7 +242,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     changed = map_chunks(docs.join(scratch.maybe_broadcast(plan.where("not gone"), of=plan), "doc_id"), _cut(window), "doc_id long, left long, n_removed long, kept_sha256 string, kept_text string")
     partly = changed.select("doc_id", (F.col("left") + F.col("n_removed")).alias("n_words"), "n_removed", "kept_sha256")
     marks = plan.select("doc_id", "gone")
-    rest = base.select("doc_id", "n_words", "sha").join(scratch.maybe_broadcast(marks, of=plan), "doc_id", "left").where("gone is null or gone")
+    rest = base.select("doc_id", "n_words", "sha").join(scratch.maybe_broadcast(marks, ID_BYTES, plan), "doc_id", "left").where("gone is null or gone")
     rest = rest.select("doc_id", "n_words", F.when(F.col("gone"), F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("gone"), F.lit(_EMPTY_SHA)).otherwise(F.col("sha")).alias("kept_sha256"))
     return rest.unionByName(partly)
 
