@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if not left:
                 break
             now = now.join(open_.select("key"), "key")
-            if left // 2 <= 16 * rows_left or turn >= 2:
+            if left // 2 <= 16 * rows_left or turn >= 1:
                 marked = now.join(sets.select("id", "parity"), "id")
                 one, two = (marked.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "c", "comp", "parity"))) for s in "ab")
                 # at least so many elements stand in only one of the two sets; the similarity allows but a share of both

@@ -15,8 +15,8 @@ from __future__ import annotations
 import zlib
 from collections import deque
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,30 +80,30 @@ def fill(queues: dict[str, deque], shares: dict[str, float], owed: dict[str, flo
 
 
 def _packed(window: int, min_piece: int, with_ids: bool):
-    def run(docs: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
-        docs = docs.sort_values(["order", "doc_id"], kind="stable").reset_index(drop=True)
+    def run(docs: pa.Table, carry: pa.Table) -> pa.Table:
+        docs = docs.take(pc.sort_indices(docs, sort_keys=[("order", "ascending"), ("doc_id", "ascending")]))
+        names, sources, sizes = docs.column("doc_id").to_pylist(), docs.column("source").to_pylist(), docs.column("n_tokens").to_pylist()
         queues: dict[str, deque] = {}
-        for i, (s, n) in enumerate(zip(docs["source"], docs["n_tokens"], strict=True)):
-            queues.setdefault(s, deque()).append([i, int(n), 0])
-        shares = dict(zip(carry["source"], carry["share"], strict=True))
-        owed = dict(zip(carry["source"], carry["owed"], strict=True))
-        pieces = fill(queues, shares, owed, window_sizes(int(docs["n_tokens"].sum()), window), min_piece)
-        ids = [widen(x, n).tobytes() for x, n in zip(docs["ids"], docs["n_tokens"], strict=True)]
-        first = int(docs["bucket"].iloc[0]) << 24 if len(docs) else 0
-        at = np.array([p[1] for p in pieces], np.int64)
+        for i, (s, n) in enumerate(zip(sources, sizes, strict=True)):
+            queues.setdefault(s, deque()).append([i, n, 0])
+        known = carry.column("source").to_pylist()
+        shares = dict(zip(known, carry.column("share").to_pylist(), strict=True))
+        owed = dict(zip(known, carry.column("owed").to_pylist(), strict=True))
+        pieces = fill(queues, shares, owed, window_sizes(sum(sizes), window), min_piece)
+        ids = [widen(x, n).tobytes() for x, n in zip(docs.column("ids").to_pylist(), sizes, strict=True)]
+        first = docs.column("bucket")[0].as_py() << 24 if len(names) else 0
         raw = [ids[d][4 * a : 4 * (a + n)] for _, d, a, n, _, _ in pieces]
-        out = pd.DataFrame({
-            "doc_id": docs["doc_id"].astype("Int64").to_numpy()[at] if len(at) else [],
+        columns = {
+            "doc_id": [names[p[1]] for p in pieces],
             "start": [p[2] for p in pieces],
             "length": [p[3] for p in pieces],
             "ids_crc32": [zlib.crc32(x) for x in raw],
-            "doc_tokens": docs["n_tokens"].to_numpy()[at] if len(at) else [],
+            "doc_tokens": [sizes[p[1]] for p in pieces],
             "sequence_id": [first + p[4] for p in pieces],
             "offset": [p[5] for p in pieces],
-            "source": [p[0] for p in pieces],
-        })
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out.assign(ids=raw) if with_ids else out
+        }
+        out = {k: pa.array(v, pa.int64()) for k, v in columns.items()} | {"source": pa.array([p[0] for p in pieces], pa.string())}
+        return pa.table(out | {"ids": pa.array(raw, pa.binary())} if with_ids else out)
 
     return run
 
@@ -139,4 +139,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window
     own = held.select("bucket", "source", (F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("own"))
     carry = own.join(before, "bucket").join(shares, "source").select(F.col("bucket").alias("bucket"), F.col("source").alias("source"), "share", (F.col("share") * F.col("before") - F.col("own")).alias("owed"))
     schema = PIECES + (", ids binary" if with_ids else "")
-    return dealt.groupBy("bucket").cogroup(carry.groupBy("bucket")).applyInPandas(_packed(window, min_piece, with_ids), schema)
+    return dealt.groupBy("bucket").cogroup(carry.groupBy("bucket")).applyInArrow(_packed(window, min_piece, with_ids), schema)
