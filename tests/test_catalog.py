@@ -6,7 +6,7 @@ from lumenark.plans import catalog
 from tests.oracle import connect, rows_of, rows_of_sql
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
-SLOW = {"kmeans_fit", "network_classify"}
+SLOW = {"kmeans_fit", "kmeans_choose", "network_classify"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
