@@ -23,6 +23,8 @@ from lumenark.llm.common import ID_BYTES, Scratch, as_binary, chunks, digest, do
 WINDOW, ANCHOR = 20, 8
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 _P61 = (1 << 61) - 1
+#: An interval of window starts is one long: start * 2**20 + length, where a length is less than a window.
+_LENGTH_BITS = 20
 
 
 def split_words(text: bytes | None) -> list[bytes]:
@@ -161,11 +163,12 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def covered(n: int, starts: list, lengths: list, window: int) -> np.ndarray:
-    """Which of n words lie in a window that starts in one of the intervals [start, start + length)."""
+def covered(n: int, cuts: list[int], window: int) -> np.ndarray:
+    """Which of n words lie in a window that starts in one of the intervals; each is its start and, in the low bits, length."""
     change = np.zeros(n + 1, np.int64)
-    a = np.asarray(starts, np.int64)
-    b = np.minimum(a + np.asarray(lengths, np.int64) + window - 1, n)
+    packed = np.asarray(cuts, np.int64)
+    a = packed >> _LENGTH_BITS
+    b = np.minimum(a + (packed & ((1 << _LENGTH_BITS) - 1)) + window - 1, n)
     np.add.at(change, a, 1)
     np.add.at(change, b, -1)
     return np.cumsum(change[:n]) > 0
@@ -182,7 +185,7 @@ def _cut(window: int):
                 removed.append(len(words))
                 texts.append(b"")
             elif cuts:
-                gone = covered(len(words), [c["at"] for c in cuts], [c["n"] for c in cuts], window)
+                gone = covered(len(words), cuts, window)
                 removed.append(int(gone.sum()))
                 texts.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
             else:
@@ -197,7 +200,7 @@ def _cut(window: int):
 def removal_intervals(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
     """(table of documents with n_words and the hash of their words; table of doc_id, gone, cuts).
 
-    `cuts` lists intervals of window starts to remove; `gone` marks whole copies of an earlier document. Only documents
+    `cuts` lists packed intervals of window starts to remove; `gone` marks whole copies of an earlier document. Only documents
     that lose a word have a row. Rows that repeat a doc_id count as one document and remove nothing from each other; rows
     with a null doc_id neither lose words nor cause it.
     """
@@ -218,8 +221,8 @@ def removal_intervals(docs: DataFrame, scratch: Scratch, window: int = WINDOW, a
     single = scratch.hold(judged.where("doc_id = first").select("doc_id", "k", F.posexplode("windows").alias("i", "w"), "at").select("k", "w", "doc_id", (F.col("at") + F.col("i")).alias("at")))
     earliest = scratch.hold(single.groupBy("k", "w").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("k", "w", "first"))
     windows = single.join(earliest, ["k", "w"]).where("doc_id <> first").select("doc_id", "at", F.lit(1).alias("n"))
-    cuts = own.unionByName(later).unionByName(windows).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("cuts"))
-    empty = F.array().cast("array<struct<at:int,n:int>>")
+    cuts = own.unionByName(later).unionByName(windows).groupBy("doc_id").agg(F.collect_list(F.col("at").cast("long") * (1 << _LENGTH_BITS) + F.col("n")).alias("cuts"))
+    empty = F.array().cast("array<bigint>")
     plan = cuts.select("doc_id", F.lit(False).alias("gone"), "cuts").unionByName(copies.select("doc_id", F.lit(True).alias("gone"), empty.alias("cuts")))
     return base, scratch.keep_compact(plan.groupBy("doc_id").agg(F.max("gone").alias("gone"), F.flatten(F.collect_list("cuts")).alias("cuts")), 200_000)
 
@@ -260,7 +263,7 @@ def _rewrite(names: list[str], window: int):
                     if not (c or g):
                         continue
                     words = text[i].encode().split()
-                    lost = covered(len(words), [x["at"] for x in c], [x["n"] for x in c], window).tolist() if not g else [True] * len(words)
+                    lost = covered(len(words), c, window).tolist() if not g else [True] * len(words)
                     text[i] = b" ".join([w for w, x in zip(words, lost, strict=True) if not x]).decode()
                     if chars is not None:
                         chars[i] = len(text[i])
