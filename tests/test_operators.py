@@ -193,11 +193,11 @@ def test_streams(spark, tmp_path):
     rows = [(i, t + datetime.timedelta(minutes=20 * i), i % 2, "click", float(i)) for i in range(12)]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double").parquet(str(tmp_path / "in"))
-    q = windows.windowed(stream).writeStream.outputMode("complete").format("memory").queryName("w").start()
-    q.processAllAvailable()
+    q = windows.windowed(stream).writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     q.stop()
     assert spark.sql("select sum(n) from w").first()[0] == 12
-    q = windows.recurrent(stream).writeStream.outputMode("update").format("memory").queryName("s").start()
-    q.processAllAvailable()
+    q = windows.recurrent(stream).writeStream.outputMode("update").format("memory").queryName("s").trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     q.stop()
     assert {r.user_id: r.steps for r in spark.sql("select * from s").collect()} == {0: 6, 1: 6}
