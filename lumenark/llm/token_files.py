@@ -30,6 +30,8 @@ from lumenark.llm.common import Scratch, documents_of, map_chunks
 from lumenark.llm.tokens import default_path, encoded_batch, widen
 
 MAGIC, BLOCK, SEGMENT, LEVEL, SHARD_BYTES = b"BPL1", 1 << 14, 1 << 18, 3, 6 << 20
+#: Boundaries between shards that are held at once.
+RANGES = 4096
 _HEAD = struct.Struct("<4sIIQ")
 
 
@@ -104,23 +106,37 @@ def _segments(block: int, segment: int, level: int):
     return run
 
 
+def shards_of(ids: np.ndarray, known: np.ndarray, bounds: np.ndarray, part: int, least: int, most: int) -> np.ndarray:
+    """The shard of each id, in the order of ids: its range between bounds, and which of `part` even steps of that range.
+
+    least and most are those of the whole table, so that an id's shard does not depend on the rows beside it. Ids that are
+    not known go to the first shard.
+    """
+    at = np.searchsorted(bounds, ids, "left")
+    # Differences of signed longs can need all 64 bits.
+    low = np.r_[np.int64(least), bounds][at].view(np.uint64)
+    width = np.r_[bounds, np.int64(most)][at].view(np.uint64) - low
+    step = (ids.view(np.uint64) - low) // (width // np.uint64(part) + np.uint64(1))
+    return np.where(known, at.astype(np.int64) * part + step.astype(np.int64), 0)
+
+
 SCHEMA = "shard int, segment int, n_ids long, doc_ids array<long>, lengths array<long>, planes binary"
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, segment: int = SEGMENT, level: int = LEVEL, shard_bytes: int = SHARD_BYTES) -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, segment: int = SEGMENT, level: int = LEVEL, shard_bytes: int = SHARD_BYTES, ranges: int = RANGES) -> None:
     """Encodes all texts, appends end_id to each, and writes segment files to `path`.
 
-    Shards are ranges of doc_id with about shard_bytes of text each, so documents of one id meet in one shard. A null text
+    Shards are ranges of doc_id with about shard_bytes of text each, so documents of one id meet in one shard; where that
+    takes more than `ranges` of them, each range is dealt into even steps of doc_id. A null text
     has only the end id; null doc_ids come first; rows that repeat an id follow one another. An empty table writes an
     empty table.
     """
     docs = documents_of(docs, id_col, text_col)
     vocabulary = vocabulary or default_path()
-    size, n = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1), F.count("*")).first()
+    size, n, least, most = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1), F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
     shards = max(1, min(-(-(size or 0) // shard_bytes), n or 1))
-    # Boundaries between shards; approximate quantiles change only how even the shards are. At most 4096 are held here:
-    # beyond that, each range is dealt into even parts by the ids within it.
-    ranges = min(shards, 4096)
+    # Boundaries between shards; approximate quantiles change only how even the shards are.
+    ranges = min(shards, ranges)
     cuts = docs.agg(F.percentile_approx("doc_id", F.lit([(i + 1) / ranges for i in range(ranges - 1)] or [1.0]), 100_000)).first()[0] or []
     bounds = np.unique(np.array(cuts[: ranges - 1], np.int64))
     part = -(-shards // ranges)
@@ -128,12 +144,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
 
     def dealt(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = tokens(batch)
-        ids = out.column("doc_id").fill_null(-(1 << 63)).to_numpy()
-        shard = np.searchsorted(bounds, ids, "left").astype(np.int64)
-        if part > 1:
-            low = np.r_[[ids.min(initial=0)], bounds][shard]
-            high = np.r_[bounds, [ids.max(initial=0)]][shard]
-            shard = shard * part + np.clip((ids - low) * part // np.maximum(high - low + 1, 1), 0, part - 1)
+        doc_ids = out.column("doc_id")
+        shard = shards_of(doc_ids.fill_null(0).to_numpy(), doc_ids.is_valid().to_numpy(zero_copy_only=False), bounds, part, least or 0, most or 0)
         return out.append_column("shard", pa.array(shard, pa.int32()))
 
     encoded = map_chunks(docs, dealt, "doc_id long, n_tokens long, ids binary, shard int")

@@ -272,6 +272,28 @@ def test_token_files(spark, docs, empty):
     assert [(r.doc_id, r.start) for r in odd] == [(None, 0), (-3, 2), (5, 3), (5, 5)]
 
 
+def test_token_files_of_split_ranges(spark):
+    # Batches with ends of their own, repeated ids that lie in different batches, null ids and the ends of a long.
+    ids = [*range(2001, 2301), *range(2301, 3001, 7), *range(2100, 2200), *range(-40, 1000, 9), None, *range(2350, 2450), None, (1 << 63) - 1, -(1 << 63)]
+    for some in (ids[:-4], [i for i in ids if i is not None]):
+        table = spark.createDataFrame([(i, "a b") for i in some], "doc_id long, text string").repartition(7)
+        for ranges in (1, 2, 3):
+            got = token_files.token_files(table, shard_bytes=300, segment=20, block=64, ranges=ranges).orderBy("start").collect()
+            assert [r.doc_id for r in got] == sorted(some, key=lambda i: (i is not None, i or 0))
+            assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
+
+
+def test_shards_ascend_and_do_not_depend_on_the_batch():
+    ids = np.array([-(1 << 63), -5, 0, 1000, 1001, 1500, 2000, 2001, 2150, 2301, 2500, 3000, (1 << 63) - 1], np.int64)
+    for bounds, part, ends in (([1000, 2000], 2, (0, 13)), ([1000, 2000], 3, (1, 12)), ([], 5, (0, 13)), ([], 2, (2, 12)), ([0], 4, (2, 12))):
+        these, bounds = ids[slice(*ends)], np.array(bounds, np.int64)
+        args = bounds, part, int(these[0]), int(these[-1])
+        whole = token_files.shards_of(these, np.ones(len(these), bool), *args)
+        assert (np.diff(whole) >= 0).all() and whole[0] >= 0 and whole[-1] < part * (len(bounds) + 1)
+        assert [int(token_files.shards_of(these[i : i + 1], np.array([True]), *args)[0]) for i in range(len(these))] == whole.tolist()
+    assert token_files.shards_of(np.zeros(1, np.int64), np.zeros(1, bool), np.array([-9], np.int64), 2, -20, 20).tolist() == [0]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, (1 << 32) - 1), max_size=200), st.sampled_from([1, 7, 8, 64]))
 def test_bit_planes_round_trip(ids, block):
