@@ -25,6 +25,12 @@ _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 _P61 = (1 << 61) - 1
 #: An interval of window starts is one long: start * 2**20 + length, where a length is less than a window.
 _LENGTH_BITS = 20
+#: A row by its document and its text, so that rows that share a doc_id but not their text keep apart.
+ROW = ["doc_id", "t"]
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("t", F.xxhash64("text"))
 
 
 def split_words(text: bytes | None) -> list[bytes]:
@@ -99,8 +105,8 @@ def _describe(window: int, anchor: int):
             ends.append(ends[-1] + (len(keys[-1]) if len(words) >= window else 0))
         flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(shas, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-            names=["doc_id", "n_words", "d1", "d2", "sha", "anchors"],
+            [batch.column("doc_id"), batch.column("t"), pa.array(counts, pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(shas, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+            names=["doc_id", "t", "n_words", "d1", "d2", "sha", "anchors"],
         )
 
     return run
@@ -110,19 +116,19 @@ def _spans(window: int, anchor: int):
     """Of each document with repeated anchors: its spans, and the windows that already stand earlier in it."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows: dict[str, list] = {k: [] for k in ("doc_id", "k", "span", "at", "n", "windows")}
+        rows: dict[str, list] = {k: [] for k in ("doc_id", "t", "k", "span", "at", "n", "windows")}
         held = 0
 
         def flush():
             out = pa.RecordBatch.from_arrays(
-                [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["k"], pa.int64()), pa.array(rows["span"], pa.int64()), pa.array(rows["at"], pa.int32()), pa.array(rows["n"], pa.int32()), pa.array(rows["windows"], pa.list_(pa.int64()))],
-                names=["doc_id", "k", "span", "at", "n", "windows"],
+                [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["t"], pa.int64()), pa.array(rows["k"], pa.int64()), pa.array(rows["span"], pa.int64()), pa.array(rows["at"], pa.int32()), pa.array(rows["n"], pa.int32()), pa.array(rows["windows"], pa.list_(pa.int64()))],
+                names=["doc_id", "t", "k", "span", "at", "n", "windows"],
             )
             for v in rows.values():
                 v.clear()
             return out
 
-        for doc_id, text, hits in zip(batch.column("doc_id").to_pylist(), as_binary(batch.column("text")).to_pylist(), batch.column("hits"), strict=True):
+        for doc_id, t, text, hits in zip(batch.column("doc_id").to_pylist(), batch.column("t").to_pylist(), as_binary(batch.column("text")).to_pylist(), batch.column("hits"), strict=True):
             h = word_hashes(split_words(text))
             at, grams = anchors(h, window, anchor)
             if not len(at):
@@ -138,12 +144,12 @@ def _spans(window: int, anchor: int):
                 own = again[a:b]
                 if own.any():
                     for x, y in _runs(own):
-                        _add(rows, doc_id, None, None, a + x, y - x, None)
+                        _add(rows, doc_id, t, None, None, a + x, y - x, None)
                 if not own.all():
                     part = full[a:b]
                     # equal content: the same windows, and the anchor at the same place in them
                     span = signed(xxhash.xxh3_64_intdigest(part.tobytes(), int(at[a]) - a))
-                    _add(rows, doc_id, int(keys[i]), span, a, b - a, part.view(np.int64).tolist())
+                    _add(rows, doc_id, t, int(keys[i]), span, a, b - a, part.view(np.int64).tolist())
                 held += 1
                 if held >= 20_000:
                     yield flush()
@@ -198,33 +204,33 @@ def _cut(window: int):
 
 
 def removal_intervals(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
-    """(table of documents with n_words and the hash of their words; table of doc_id, gone, cuts).
+    """(table of rows with n_words and the hash of their words; table of doc_id, t, gone, cuts), of docs with the mark t.
 
-    `cuts` lists packed intervals of window starts to remove; `gone` marks whole copies of an earlier document. Only documents
-    that lose a word have a row. Rows that repeat a doc_id count as one document and remove nothing from each other; rows
+    `cuts` lists packed intervals of window starts to remove; `gone` marks whole copies of an earlier document. Only rows
+    that lose a word are in it, by doc_id and text. Rows that repeat a doc_id remove nothing from each other; rows
     with a null doc_id neither lose words nor cause it.
     """
-    base = scratch.keep(map_chunks(docs, _describe(window, anchor), "doc_id long, n_words long, d1 long, d2 long, sha string, anchors array<long>"))
+    base = scratch.keep(map_chunks(docs, _describe(window, anchor), "doc_id long, t long, n_words long, d1 long, d2 long, sha string, anchors array<long>"))
     long_ = base.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     first = long_.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c"))
     copied = first.where("c > 1").select("d1", "d2", "first")
-    copies = scratch.hold(long_.select("doc_id", "d1", "d2").join(copied, ["d1", "d2"]).where("doc_id <> first").select("doc_id").distinct())
-    occurrences = long_.select("doc_id", "anchors").join(scratch.maybe_broadcast(copies), "doc_id", "left_anti").select("doc_id", F.explode("anchors").alias("k"))
+    copies = scratch.hold(long_.select(*ROW, "d1", "d2").join(copied, ["d1", "d2"]).where("doc_id <> first").select(*ROW).distinct())
+    occurrences = long_.select(*ROW, "anchors").join(scratch.maybe_broadcast(copies), ROW, "left_anti").select(*ROW, F.explode("anchors").alias("k"))
     repeated = scratch.hold(occurrences.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"))
-    hits = scratch.keep_compact(occurrences.join(repeated, "k").groupBy("doc_id").agg(F.collect_set("k").alias("hits")), 100_000)
-    spans = scratch.keep(map_chunks(docs.join(scratch.maybe_broadcast(hits), "doc_id"), _spans(window, anchor), "doc_id long, k long, span long, at int, n int, windows array<long>"))
-    own = spans.where("k is null").select("doc_id", "at", "n")
+    hits = scratch.keep_compact(occurrences.join(repeated, "k").groupBy(*ROW).agg(F.collect_set("k").alias("hits")), 100_000)
+    spans = scratch.keep(map_chunks(docs.join(scratch.maybe_broadcast(hits), ROW), _spans(window, anchor), "doc_id long, t long, k long, span long, at int, n int, windows array<long>"))
+    own = spans.where("k is null").select(*ROW, "at", "n")
     cross = spans.where("k is not null")
     settled = scratch.hold(cross.groupBy("k", "span").agg(F.min("doc_id").alias("first")))
     judged = cross.join(settled, ["k", "span"])
-    later = judged.where("doc_id <> first").select("doc_id", "at", "n")
-    single = scratch.hold(judged.where("doc_id = first").select("doc_id", "k", F.posexplode("windows").alias("i", "w"), "at").select("k", "w", "doc_id", (F.col("at") + F.col("i")).alias("at")))
+    later = judged.where("doc_id <> first").select(*ROW, "at", "n")
+    single = scratch.hold(judged.where("doc_id = first").select(*ROW, "k", F.posexplode("windows").alias("i", "w"), "at").select("k", "w", *ROW, (F.col("at") + F.col("i")).alias("at")))
     earliest = scratch.hold(single.groupBy("k", "w").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("k", "w", "first"))
-    windows = single.join(earliest, ["k", "w"]).where("doc_id <> first").select("doc_id", "at", F.lit(1).alias("n"))
-    cuts = own.unionByName(later).unionByName(windows).groupBy("doc_id").agg(F.collect_list(F.col("at").cast("long") * (1 << _LENGTH_BITS) + F.col("n")).alias("cuts"))
+    windows = single.join(earliest, ["k", "w"]).where("doc_id <> first").select(*ROW, "at", F.lit(1).alias("n"))
+    cuts = own.unionByName(later).unionByName(windows).groupBy(*ROW).agg(F.collect_list(F.col("at").cast("long") * (1 << _LENGTH_BITS) + F.col("n")).alias("cuts"))
     empty = F.array().cast("array<bigint>")
-    plan = cuts.select("doc_id", F.lit(False).alias("gone"), "cuts").unionByName(copies.select("doc_id", F.lit(True).alias("gone"), empty.alias("cuts")))
-    return base, scratch.keep_compact(plan.groupBy("doc_id").agg(F.max("gone").alias("gone"), F.flatten(F.collect_list("cuts")).alias("cuts")), 200_000)
+    plan = cuts.select(*ROW, F.lit(False).alias("gone"), "cuts").unionByName(copies.select(*ROW, F.lit(True).alias("gone"), empty.alias("cuts")))
+    return base, scratch.keep_compact(plan.groupBy(*ROW).agg(F.max("gone").alias("gone"), F.flatten(F.collect_list("cuts")).alias("cuts")), 200_000)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = True) -> DataFrame:
@@ -236,16 +242,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     removal_intervals. Other columns are ignored, an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
-    docs = documents_of(docs, id_col, text_col)
+    docs = _marked(documents_of(docs, id_col, text_col))
     base, plan = removal_intervals(docs, scratch, window, anchor)
     if with_text:
-        cut = map_chunks(docs.join(scratch.maybe_broadcast(plan), "doc_id", "left"), _cut(window), "doc_id long, left long, n_removed long, kept_sha256 string, kept_text string")
+        cut = map_chunks(docs.join(scratch.maybe_broadcast(plan), ROW, "left"), _cut(window), "doc_id long, left long, n_removed long, kept_sha256 string, kept_text string")
         return cut.select("doc_id", (F.col("left") + F.col("n_removed")).alias("n_words"), "n_removed", "kept_sha256", "kept_text")
     # Untouched documents and whole copies need no second look at their text.
-    changed = map_chunks(docs.join(scratch.maybe_broadcast(plan.where("not gone"), of=plan), "doc_id"), _cut(window), "doc_id long, left long, n_removed long, kept_sha256 string, kept_text string")
+    changed = map_chunks(docs.join(scratch.maybe_broadcast(plan.where("not gone"), of=plan), ROW), _cut(window), "doc_id long, left long, n_removed long, kept_sha256 string, kept_text string")
     partly = changed.select("doc_id", (F.col("left") + F.col("n_removed")).alias("n_words"), "n_removed", "kept_sha256")
-    marks = plan.select("doc_id", "gone")
-    rest = base.select("doc_id", "n_words", "sha").join(scratch.maybe_broadcast(marks, ID_BYTES, plan), "doc_id", "left").where("gone is null or gone")
+    marks = plan.select(*ROW, "gone")
+    rest = base.select(*ROW, "n_words", "sha").join(scratch.maybe_broadcast(marks, ID_BYTES, plan), ROW, "left").where("gone is null or gone")
     rest = rest.select("doc_id", "n_words", F.when(F.col("gone"), F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("gone"), F.lit(_EMPTY_SHA)).otherwise(F.col("sha")).alias("kept_sha256"))
     return rest.unionByName(partly)
 
@@ -282,7 +288,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     loses all its words stays, with an empty text.
     """
     scratch = Scratch(docs.sparkSession)
-    _, plan = removal_intervals(documents_of(docs), scratch, window, anchor)
-    marks = plan.select("doc_id", F.col("gone").alias("_gone"), F.col("cuts").alias("_cuts"))
-    joined = docs.join(scratch.maybe_broadcast(marks, of=plan), "doc_id", "left").select(*docs.columns, "_gone", "_cuts")
+    _, plan = removal_intervals(_marked(documents_of(docs)), scratch, window, anchor)
+    marks = plan.select("doc_id", F.col("t").alias("_t"), F.col("gone").alias("_gone"), F.col("cuts").alias("_cuts"))
+    joined = docs.withColumn("_t", F.xxhash64("text")).join(scratch.maybe_broadcast(marks, of=plan), ["doc_id", "_t"], "left").select(*docs.columns, "_gone", "_cuts")
     return joined.mapInArrow(_rewrite(docs.columns, window), docs.schema)

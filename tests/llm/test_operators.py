@@ -115,6 +115,19 @@ def test_repeats(spark, docs, empty):
     assert sorted((r.doc_id or -1, r.n_removed) for r in odd) == [(-1, 0), (3, 0), (3, 0), (5, 30)]
 
 
+def test_repeats_in_rows_that_share_an_id_but_not_their_text(spark):
+    shared, long_ = " ".join(f"s{i}" for i in range(25)), " ".join(f"l{i}" for i in range(60))
+    short, other = "a b c", " ".join(f"o{i}" for i in range(30))
+    # id 5: a long text with a repeat at its end, a short one, a whole copy of an earlier document, and a text of its own
+    rows = [(1, shared), (5, f"{long_} {shared}"), (5, short), (5, shared), (5, other), (6, f"x {other}"), (6, "x y")]
+    kept = [(1, shared), (5, long_), (5, short), (5, ""), (5, other), (6, "x"), (6, "x y")]
+    table = make(spark, [(i, t, "s") for i, t in rows])
+    assert sorted((r.doc_id, r.kept_text) for r in substring_dedup.remove_repeats(table).collect()) == sorted(kept)
+    sums = sorted((i, len(t.split()), len(t.split()) - len(k.split()), hashlib.sha256(k.encode()).hexdigest()) for (i, t), (_, k) in zip(rows, kept, strict=True))
+    assert sorted(tuple(r) for r in substring_dedup.remove_repeats(table, with_text=False).collect()) == sums
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in substring_dedup.without_repeats(table).collect()) == sorted((i, k, len(k)) for i, k in kept)
+
+
 def test_rabin_karp_and_anchors():
     w = np.random.default_rng(0).integers(0, 1 << 63, 50, dtype=np.uint64)
     p = (1 << 61) - 1
