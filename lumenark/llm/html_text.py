@@ -3,8 +3,8 @@
 A page is read once into blocks (text between block-level tags) with their root-to-leaf tag path. For every path of a page
 the text length and the punctuation per block are summed, smoothed over the page's block order with a Gaussian, fused into
 one score (geometric mean of both), and compared with a threshold relative to the page's best path. The blocks of paths
-above it are the page's content nodes. The smallest element that holds (nearly) all of them is the article; it is returned
-whole, so that short paragraphs and headings inside it, whose paths score low, are not lost. Subtrees that by their tag,
+above it are the page's content nodes. The smallest element that holds (nearly) all of them is the article, where an
+<article> or <main> that holds them goes before what is smaller; it is returned whole, so that short paragraphs and headings inside it, whose paths score low, are not lost. Subtrees that by their tag,
 role or class name are menus, headers, footers, sidebars, notices, adverts, forms or reader comments, and paths that are
 mostly links, are left out.
 """
@@ -195,12 +195,11 @@ def article_text(page: str | None) -> str:
     chosen = content_blocks(blocks)
     weight: dict[int, int] = defaultdict(int)
     elements: dict[int, _Element] = {}
-    total = marked = 0
+    total = 0
     for b, c in zip(blocks, chosen, strict=True):
         if not c:
             continue
         total += len(b.text)
-        marked += len(b.text) if b.element.article else 0
         e = b.element
         while e is not None:
             weight[id(e)] += len(b.text)
@@ -208,9 +207,11 @@ def article_text(page: str | None) -> str:
             e = e.parent
     if not total:
         return " ".join(b.text for b in blocks if b.element.article)
-    if 2 * marked >= total:  # the page says which part is its article
-        return " ".join(b.text for b in blocks if b.element.article)
     around = [elements[k] for k, w in weight.items() if w >= HOLDS * total]
+    named = [e for e in around if e.tag in ("article", "main")]
+    if named:  # the page says which part is its article
+        smallest = max(named, key=lambda e: e.path.count("/"))
+        return " ".join(b.text for b in blocks if _within(b.element, smallest))
     smallest = max(around, key=lambda e: e.path.count("/"))
     while smallest.tag in ("p", "li", "h1", "h2", "h3", "td") and smallest.parent is not None:
         smallest = smallest.parent

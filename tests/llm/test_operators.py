@@ -211,6 +211,21 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def sentences(word, n=6):
+    return " ".join(f"{word} number {i}, with a comma, and an end." for i in range(n))
+
+
+def test_html_tags_are_candidates_not_verdicts():
+    one, two, teaser = sentences("one"), sentences("two"), "Teaser, short."
+    # half of the content outside the tag
+    assert html_text.article_text(f"<body><article><p>{one}</p></article><div><p>{two}</p></div></body>") == f"{one} {two}"
+    # teasers of other articles beside the article, which is marked or not
+    teasers = f"<div><article><h3>{teaser}</h3></article><article><h3>{teaser}</h3></article></div>"
+    assert html_text.article_text(f"<body><article><h1>Head</h1><div><p>{one}</p><p>{two}</p></div></article>{teasers}</body>") == f"Head {one} {two}"
+    assert html_text.article_text(f"<body><div><p>{one}</p><p>{two}</p></div>{teasers}</body>") == f"{one} {two}"
+    assert html_text.article_text(f"<body><main><h1>Head</h1><article><h2>Title</h2><div><p>{one}</p></div></article></main></body>") == f"Title {one}"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/!-pbadiv \"'=&;#x1\n", max_size=80))
 def test_html_never_fails(page):
