@@ -6,15 +6,17 @@ one score (geometric mean of both), and compared with a threshold relative to th
 above it are the page's content nodes. The smallest element that holds (nearly) all of them is the article, where an
 <article> or <main> that holds them goes before what is smaller; it is returned whole, so that short paragraphs and headings inside it, whose paths score low, are not lost. Subtrees that by their tag,
 role or class name are menus, headers, footers, sidebars, notices, adverts, forms or reader comments, and paths that are
-mostly links, are left out.
+mostly links, are left out; by its name alone no element is that holds most of the content nodes.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +26,8 @@ from lumenark.llm.common import map_chunks
 
 #: Share of the best path's score that makes content; width of the smoothing in blocks; share of content the article holds.
 THRESHOLD, SIGMA, HOLDS = 0.25, 1.0, 0.9
+#: Share of content beyond which an element stays whatever its name; readers can write more than the author.
+MOST, MOST_COMMENTS = 0.5, HOLDS
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -40,6 +44,9 @@ SKIPPED_NAMES = frozenset(
     "masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "comment comments commentlist disqus respond replies reply pagination pager toolbar skip hidden adsbygoogle adbox adslot cookiebar cookiebanner navmenu topnav sidenav sitenav sitefooter siteheader".split()
 )
+COMMENT_NAMES = frozenset("comment comments commentlist disqus respond replies reply".split())
+#: What follows these in a class or id says what an element has or lacks, not what it is.
+MODIFIERS = frozenset("has no with without".split())
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()),
     "li": frozenset(["li"]),
@@ -64,15 +71,28 @@ def _left_out(tag: str, attributes: dict[str, str], inside_article: bool) -> boo
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in SKIPPED_ROLES or re.search(r"display\s*:\s*none", attributes.get("style", "")):
         return True
-    names = re.split(r"[^a-z0-9]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
-    return not SKIPPED_NAMES.isdisjoint(names) or ("side" in names and "bar" in names) or (not inside_article and "header" in names)
+    return False
+
+
+def _stays_beyond(tag: str, attributes: dict[str, str], inside_article: bool) -> float | None:
+    """For an element whose class or id names what is not article text: the share of content beyond which it stays."""
+    if tag in ("html", "body", "article", "main") or not ("class" in attributes or "id" in attributes):
+        return None
+    names = set()
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        names.update(itertools.takewhile(lambda x: x not in MODIFIERS, re.split(r"[^a-z0-9]+", name)))
+    if not SKIPPED_NAMES.isdisjoint(names) or {"side", "bar"} <= names or (not inside_article and "header" in names):
+        return MOST if COMMENT_NAMES.isdisjoint(names) else MOST_COMMENTS
+    return None
 
 
 class _Element:
-    __slots__ = ("article", "children", "out", "parent", "path", "tag")
+    __slots__ = ("article", "children", "named", "out", "parent", "path", "stays", "tag")
 
-    def __init__(self, tag: str, path: str, parent: _Element | None, out: bool, article: bool):
-        self.tag, self.path, self.parent, self.out, self.article = tag, path, parent, out, article
+    def __init__(self, tag: str, path: str, parent: _Element | None, out: bool, article: bool, stays: float | None = None):
+        self.tag, self.path, self.parent, self.out, self.article, self.stays = tag, path, parent, out, article, stays
+        #: The nearest element, from this one up, that its name may leave out.
+        self.named = self if stays is not None else parent.named if parent is not None else None
 
 
 class Block:
@@ -85,7 +105,7 @@ class Block:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order, without those left out."""
+    """The page's blocks in order, without those left out by tag or role, or inside a line by name."""
     root = _Element("", "", None, False, False)
     now, out, parts, linked, links = root, [], [], 0, 0
     owner = root
@@ -150,7 +170,9 @@ def blocks_of(page: str) -> list[Block]:
         attributes = _attributes(m[3]) if m[3].strip(" /\n\t\r") else {}
         article = now.article or tag in ("article", "main")
         names = attributes.get("class", "").split()
-        now = _Element(tag, f"{now.path}/{tag}" + (f".{names[0]}" if names else ""), now, now.out or _left_out(tag, attributes, now.article), article)
+        stays = _stays_beyond(tag, attributes, now.article)
+        out_ = now.out or _left_out(tag, attributes, now.article) or (stays is not None and tag in INLINE)
+        now = _Element(tag, f"{now.path}/{tag}" + (f".{names[0]}" if names else ""), now, out_, article, stays)
         links += tag == "a"
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(page, at)
@@ -187,11 +209,55 @@ def content_blocks(blocks: list[Block], threshold: float = THRESHOLD, sigma: flo
     return [best > 0 and score[b.element.path] >= threshold * best for b in blocks]
 
 
+def without_named(blocks: list[Block]) -> list[Block]:
+    """The blocks outside all elements that are left out by their names: comments first, the rest by the content then left.
+
+    A name stands, whatever its element holds, where one <article> or <main> elsewhere is the page's article.
+    """
+    if all(b.element.named is None for b in blocks):
+        return blocks
+    content = dict(zip(map(id, blocks), content_blocks(blocks), strict=True))
+    for stays in (MOST_COMMENTS, MOST):
+        total, weight = 0, defaultdict(int)
+        for b in blocks:
+            n = len(b.text) if content[id(b)] else 0
+            total += n
+            for e in _named(b.element):
+                if e.stays == stays:
+                    weight[e] += n
+        out = {e for e, w in weight.items() if w <= stays * total or _marked_elsewhere(blocks, e)}
+        blocks = [b for b in blocks if out.isdisjoint(_named(b.element))]
+    return blocks
+
+
+def _marked_elsewhere(blocks: list[Block], of: _Element) -> bool:
+    """Whether blocks that no name leaves out, outside this element, lie in one <article> or <main> that does not hold it."""
+    above = set(_upward(of))
+    found = set()
+    for b in blocks:
+        if b.element.article and above.issuperset(_named(b.element)) and not _within(b.element, of):
+            found.update([e for e in _upward(b.element) if e.tag in ("article", "main") and e not in above][-1:])
+    return len(found) == 1
+
+
+def _upward(e: _Element | None) -> Iterator[_Element]:
+    while e is not None:
+        yield e
+        e = e.parent
+
+
+def _named(e: _Element) -> Iterator[_Element]:
+    e = e.named
+    while e is not None:
+        yield e
+        e = e.parent.named
+
+
 def article_text(page: str | None) -> str:
     """The article's text: references decoded, white space in a block made one space, blocks joined by one space."""
     if not page:
         return ""
-    blocks = blocks_of(page)
+    blocks = without_named(blocks_of(page))
     chosen = content_blocks(blocks)
     weight: dict[int, int] = defaultdict(int)
     elements: dict[int, _Element] = {}

@@ -226,6 +226,22 @@ def test_html_tags_are_candidates_not_verdicts():
     assert html_text.article_text(f"<body><main><h1>Head</h1><article><h2>Title</h2><div><p>{one}</p></div></article></main></body>") == f"Title {one}"
 
 
+def test_html_names_do_not_leave_out_the_article():
+    one, two, short = sentences("one"), sentences("two"), sentences("reader", 2)
+    for name in ("layout has-sidebar", "no-sidebar", "page-with-comments", "elementor-widget-container", "widget", "page-header"):
+        page = f'<body><div class="{name}"><p>{one}</p><p>{two}</p></div><div class="sidebar"><p>{short}</p></div></body>'
+        assert html_text.article_text(page) == f"{one} {two}", name
+    # what is inside a wrapper that stays goes by its own name; comments longer than the article go too
+    page = f'<body><div class="widget"><p>{one}</p><div class="promo"><p>{short}</p></div></div><div class="comments"><p>{two}</p><p>{two}</p></div></body>'
+    assert html_text.article_text(page) == one
+    # a short article that the page marks goes before an advert, several teasers do not go before the article
+    assert html_text.article_text(f'<body><div class="ad">{one}</div><article><h1>Head</h1><p>Short.</p></article></body>') == "Head Short."
+    teasers = "<article><h3>Teaser</h3></article>" * 2
+    assert html_text.article_text(f'<body><main><h1>Head</h1><div class="widget"><p>{one}</p></div></main>{teasers}</body>') == f"Head {one}"
+    page = f'<body><div class="text"><p>{one}</p><div class="promo"><p>{short}</p></div></div><div class="comments"><p>{two}</p><p>{two}</p></div></body>'
+    assert html_text.article_text(page) == one
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/!-pbadiv \"'=&;#x1\n", max_size=80))
 def test_html_never_fails(page):
