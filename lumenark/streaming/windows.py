@@ -17,7 +17,11 @@ def windowed(events: DataFrame, size: str = "1 hour", late: str = "10 minutes",
 
 
 def recurrent(events: DataFrame, wx: float = 0.8, wh: float = 0.5, idle_ms: int = 3_600_000) -> DataFrame:
-    """(user_id, steps, h): a one-unit recurrent state for each user, carried over micro-batches and dropped when idle."""
+    """(user_id, steps, h): a one-unit recurrent state for each user, carried over micro-batches and dropped when idle.
+
+    Idle is by the clock, so Spark runs one more batch for ever, and a query with the trigger availableNow ends only where
+    spark.sql.streaming.noDataMicroBatches.enabled is false.
+    """
     import math
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

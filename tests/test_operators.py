@@ -202,3 +202,47 @@ def test_streams(spark, tmp_path):
     assert q.awaitTermination(60)
     q.stop()
     assert {r.user_id: r.steps for r in spark.sql("select * from s").collect()} == {0: 6, 1: 6}
+
+
+EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double"
+
+
+@pytest.fixture
+def events(spark, tmp_path):
+    """Two files of six events, read one in a batch."""
+    t = datetime.datetime(2024, 1, 1)
+    rows = [(i, t + datetime.timedelta(minutes=20 * i), i % 2, "click", float(i)) for i in range(12)]
+    for part in (rows[:6], rows[6:]):
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def run_to_end(stream, mode, name):
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(60)
+    finally:
+        q.stop()
+
+
+def test_windowed_stream(spark, events):
+    run_to_end(windows.windowed(events), "complete", "windowed_events")
+    assert [(r.n, r.total) for r in spark.sql("select * from windowed_events order by start").collect()] == [(3, 3.0), (3, 12.0), (3, 21.0), (3, 30.0)]
+
+
+def test_recurrent_stream(spark, events):
+    # Without this, time-outs by the clock ask for one more batch for ever.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        run_to_end(windows.recurrent(events), "update", "recurrent_events")
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    got = {(r.user_id, r.steps): r.h for r in spark.sql("select * from recurrent_events").collect()}
+    expected = {}
+    for user in (0, 1):
+        h = 0.0
+        for n, v in enumerate(range(user, 12, 2), 1):
+            h = np.tanh(0.8 * v / 100 + 0.5 * h)
+            if n in (3, 6):
+                expected[user, n] = h
+    assert got.keys() == expected.keys() and all(np.isclose(got[k], expected[k]) for k in got)
