@@ -77,12 +77,12 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         yield batch.slice(at)
 
 
-def map_chunks(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
+def map_chunks(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str, column: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
     """mapInArrow over slices of bounded size."""
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, column):
+            for part in chunks(batch, column, limit):
                 out = f(part)
                 if isinstance(out, pa.RecordBatch):
                     yield out

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenark.llm.common import Scratch, map_chunks
-from lumenark.llm.tokens import default_path, encoded_batch, widen
+from lumenark.llm.tokens import BATCH_BYTES, default_path, encoded_batch, widen
 
 WINDOW, BUCKET_TOKENS, MIN_PIECE = 2048, 1 << 20, 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -120,7 +120,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window
     scratch = Scratch(docs.sparkSession)
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("")) if source_col in docs.columns else F.lit("")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), source.alias("source"), F.col(text_col).alias("text"))
-    encoded = scratch.hold(map_chunks(chosen, encoded_batch(vocabulary or default_path(), end_id), "doc_id long, source string, n_tokens long, ids binary"), large=True)
+    encoded = scratch.hold(map_chunks(chosen, encoded_batch(vocabulary or default_path(), end_id), "doc_id long, source string, n_tokens long, ids binary", limit=BATCH_BYTES), large=True)
     total = encoded.agg(F.sum("n_tokens")).first()[0] or 0
     buckets = max(1, -(-total // bucket_tokens))
     order = F.xxhash64("doc_id", "source", F.crc32("ids"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenark.llm.common import Scratch, documents_of, map_chunks
-from lumenark.llm.tokens import default_path, encoded_batch, widen
+from lumenark.llm.tokens import BATCH_BYTES, default_path, encoded_batch, widen
 
 MAGIC, BLOCK, SEGMENT, LEVEL, SHARD_BYTES = b"BPL1", 1 << 14, 1 << 18, 3, 6 << 20
 #: Boundaries between shards that are held at once.
@@ -148,7 +148,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         shard = shards_of(doc_ids.fill_null(0).to_numpy(), doc_ids.is_valid().to_numpy(zero_copy_only=False), bounds, part, least or 0, most or 0)
         return out.append_column("shard", pa.array(shard, pa.int32()))
 
-    encoded = map_chunks(docs, dealt, "doc_id long, n_tokens long, ids binary, shard int")
+    encoded = map_chunks(docs, dealt, "doc_id long, n_tokens long, ids binary, shard int", limit=BATCH_BYTES)
     encoded.groupBy("shard").applyInPandas(_segments(block, segment, level), SCHEMA).write.option("compression", "none").mode("overwrite").parquet(path)
 
 

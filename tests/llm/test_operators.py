@@ -292,11 +292,34 @@ def test_banded_alignment_is_edit_distance(item, n, r):
 def test_token_ids_are_the_librarys(spark):
     e = tokens.Encoder(tokens.default_path())
     r = random.Random(2)
-    alphabet = [*"ab'sTé 1,.\n\t  <|>", "  ", "\x1c", "\x85", "\xa0", "中", "😀", " \n", "'ll", "<|endoftext|>", "\r\n", "\x00", "a" * 60]
+    alphabet = [*"ab'sTé 1,.\n\t  <|>", "  ", "\x1c", "\x85", "\xa0", "中", "😀", " \n", "'ll", "<|endoftext|>", "\r\n", "\x00", "a" * 60, "\n\n", "\n\n\n", "word", "über", "it's", "naïve,", "ʼn", "²", "ª", "א", "\u3000", "3.5"]
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 25))) for _ in range(3000)]
     whole = e.tokenizer.encode_batch(texts, add_special_tokens=False)
     for _ in range(2):  # the second time from the memos
         assert e.encode([*texts, None]) == [*(np.array(x.ids, e.kind).tobytes() for x in whole), b""]
+    assert e.by_words and e.encode([]) == []
+
+
+def test_other_vocabularies_go_through_the_library(tmp_path):
+    """A file with another pre-tokenizer is not read word by word."""
+    import json
+
+    with open(tokens.default_path()) as f:
+        asked = json.load(f)
+    asked["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(asked))
+    e = tokens.Encoder(str(tmp_path / "other.json"))
+    texts = ["a b", "some words, and more\nlines", "", "x  y"]
+    assert not e.by_words and e.encode(texts) == [np.array(x.ids, e.kind).tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_the_memo_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 50)
+    e = tokens.Encoder(tokens.default_path())
+    for i in range(20):
+        texts = [f"again w{i}a{j} x{j}, {'y' * 99}" for j in range(40)]
+        assert e.encode(texts) == [np.array(x.ids, e.kind).tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert len(e.memo) + len(e.old) < 600
 
 
 def ids_of(text, end):
