@@ -59,7 +59,7 @@ def parse(rendered: str) -> list[tuple[str, str, int, int]]:
 
 def render(role: str, text: str) -> str:
     """One turn, escaped only as far as reading it back needs."""
-    head, body = role, text
+    head, body, tried = role, text, False
     while True:
         rendered = f"{START}{head}\n{body}{END}\n"
         try:
@@ -69,8 +69,8 @@ def render(role: str, text: str) -> str:
             same = False
         if same:
             return rendered
-        if head == role and (("\n" in role) or ("\\" in role) or ("<" in role)):
-            head = _escape_role(role)
+        if not tried and _escape_role(role) != role:
+            head, tried = _escape_role(role), True
         else:
             body = escape(body)
 

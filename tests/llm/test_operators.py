@@ -190,6 +190,7 @@ def test_chat(spark):
 @given(st.text(alphabet="<|>\\\nim_startend a", max_size=40), st.text(alphabet="<|>\\\nim_startend a", max_size=60))
 def test_chat_round_trip(role, text):
     one = chat.render(role, text)
+    assert [t[:2] for t in chat.parse(chat.render("a<b", f"{text}<|im_end|>"))] == [("a<b", f"{text}<|im_end|>")]
     assert [t[:2] for t in chat.parse(one + one)] == [(role, text)] * 2
     assert chat.unescape(chat.escape(text)) == text
     with pytest.raises(ValueError):
