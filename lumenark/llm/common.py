@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; one longer document is still handled whole.
 CHUNK_BYTES = 4 << 20
-#: A side is broadcast only if it holds at most so many bytes (measured on its written table).
-BROADCAST_BYTES = 32 << 20
-#: The same for tables of sorted-out ids: some millions of rows, of about 16 bytes each in memory.
-ID_BYTES = 8 << 20
+#: A side is broadcast only if it was measured to hold at most so many bytes in memory, with so many bytes a row beside its values.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 40
 
 _M1, _M2, _K = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,12 +120,9 @@ class Scratch:
         out._lumenark_path = path
         return out
 
-    def keep_compact(self, df: DataFrame, rows: int = 500_000) -> DataFrame:
-        """As keep, in files of about `rows` rows: for tables of loops, of a size that is known only when they are computed."""
-        held = self.hold(df)
-        out = self.keep(held.coalesce(max(1, -(-held.count() // rows))))
-        held.unpersist()
-        return out
+    def keep_compact(self, df: DataFrame) -> DataFrame:
+        """As keep, in one job and few files: adaptive execution sizes them. For tables of loops, of unknown size."""
+        return self.keep(df.hint("rebalance"))
 
     def hold(self, df: DataFrame, large: bool = False) -> DataFrame:
         """df, computed once when an action first runs over it: in memory and beyond it on disk, or, if large, on disk only.
@@ -144,17 +139,18 @@ class Scratch:
             df.unpersist()
 
     def bytes(self, df: DataFrame) -> int:
-        """Measured size: of a kept table's files, or of a held one in memory."""
-        if hasattr(df, "_lumenark_path"):
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(df._lumenark_path)
-            return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-        df.count()
-        return int(df.select("*")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        """Measured size in memory as rows of a hash table: its fixed columns, what its lists and texts hold, and ROW_BYTES a row."""
+        held = [F.lit(0).cast("long")]
+        for name, kind in df.dtypes:
+            held += [F.coalesce(F.size(name) * 8, F.lit(0)) for _ in "a" if kind.startswith("array")]
+            held += [F.coalesce(F.octet_length(name), F.lit(0)) for _ in "a" if kind in ("string", "binary")]
+        n, varying = df.agg(F.count("*"), F.sum(sum(held[1:], held[0]))).first()
+        return n * (ROW_BYTES + 8 * len(df.columns)) + (varying or 0)
 
     def maybe_broadcast(self, df: DataFrame, limit: int = BROADCAST_BYTES, of: DataFrame | None = None) -> DataFrame:
         """df, marked for broadcast only if its size, or that of the table it comes from, is within the limit.
 
-        Beyond it the join shuffles both sides. For kept tables of ids, which pack well on disk, take ID_BYTES.
+        Beyond it the join shuffles both sides.
         """
         return F.broadcast(df) if self.bytes(df if of is None else of) <= limit else df
 

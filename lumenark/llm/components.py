@@ -35,14 +35,14 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
     Links of a node to itself and repeated links do no harm; nulls are dropped; no links give no rows.
     """
-    clean = links.select("a", "b").where("a is not null and b is not null and a <> b")
-    state, held, seen = clean, None, None
+    state, held = links.select("a", "b").where("a is not null and b is not null and a <> b"), None
     while True:
-        stars = scratch.keep_compact(_small_star(_large_star(state).where("a <> b").distinct()).where("a <> b").distinct())
-        n, total = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        # ends in the shuffle of its distinct, so adaptive execution writes few files
+        stars = scratch.keep(_small_star(_large_star(state).where("a <> b").distinct()).where("a <> b").distinct())
         if held is not None:
             scratch.drop(held)
         state = held = stars
-        if (n, total) == seen:
+        # done when every link leads to a least node: no node has two links up, or links both up and down
+        ends = stars.select(F.inline(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
+        if ends.groupBy("v").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
             return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        seen = (n, total)

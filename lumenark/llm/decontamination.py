@@ -211,5 +211,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs in which no benchmark item occurs. Rows with a null doc_id stay."""
     scratch = Scratch(docs.sparkSession)
-    leaks = scratch.keep_compact(find_leaks(docs, benchmark, **options).select("doc_id").distinct())
-    return docs.join(scratch.maybe_broadcast(leaks, 8 << 20), "doc_id", "left_anti").select(*docs.columns)
+    leaks = scratch.keep(find_leaks(docs, benchmark, **options).select("doc_id").distinct())
+    return docs.join(scratch.maybe_broadcast(leaks), "doc_id", "left_anti").select(*docs.columns)

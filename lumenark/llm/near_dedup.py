@@ -7,10 +7,11 @@ concentrates about their similarity.
 
 Bands of four coordinates make buckets. With 40 bands a pair at similarity 0.75 shares no bucket with probability
 (1 - 0.75**4)**40 = 2.5e-7. Inside a bucket members are first compared with one pivot a round, which joins most of a group by as many
-comparisons as it has members. What is left in different components is then compared pair by pair, but only where the
-sizes, the elements that stand in no other set, and the parity of the elements at each of 1024 places leave room for the
-similarity asked for; these bounds are exact and cost a few operations a pair. So every link that could still
-join two components is tested on the full sets.
+comparisons as it has members. Pivot rounds go on while the pairs of members of different components are many against the
+members. What is left in different components is then compared pair by pair: those outside a bucket's largest component with
+all its members, and only where the sizes, the elements that stand in no other set, and the parity of the elements at each of
+1024 places leave room for the similarity asked for; these bounds are exact and cost a few operations a pair. So every
+link that could still join two components is tested on the full sets.
 """
 
 from __future__ import annotations
@@ -22,11 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import ID_BYTES, Scratch, as_binary, digest, documents_of, gram_hashes, map_chunks, mix, word_hashes
+from lumenark.llm.common import Scratch, as_binary, digest, documents_of, gram_hashes, map_chunks, mix, word_hashes
 from lumenark.llm.components import components
 
 WIDTH, PERCENT, BANDS, ROWS = 5, 75, 40, 4
 PARITY_WORDS = 16
+#: Pivot rounds go on, up to PIVOTS, while a bucket's member has more than PAIRS pairs outside its component on average.
+PIVOTS, PAIRS = 4, 16
+#: A set with more than this share of all rows is joined to its copies by broadcast; there are fewer than 1 / HOT of them.
+HOT = 1e-3
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -102,7 +107,8 @@ def _sets(width: int):
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
         words = np.concatenate([parities(s) for s in sets])
         marks = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * PARITY_WORDS), pa.array(words))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, marks], names=["id", "elements", "parity"])
+        own = pa.array([digest(s.tobytes())[0] if len(s) else None for s in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), own, lists, marks], names=["id", "s", "elements", "parity"])
 
     return run
 
@@ -121,54 +127,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked when their shingle sets have 100 * intersection >= percent * union; component_id is the least
     doc_id reachable, kept is true for that document.
     A null or empty text, or one without words, has n_shingles 0 and is linked with nothing. A null doc_id is never
-    linked: component_id null, kept true. Rows that repeat a doc_id are linked by their texts and each reported.
+    linked: component_id null, kept true. Rows that repeat a doc_id are one document with several texts: it is linked by
+    each of them, and each row is reported.
     Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = documents_of(docs, id_col, text_col)
     base = scratch.hold(map_chunks(docs, _describe(bands, rows, width), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), large=True)
-    # Copies first: one representative for each distinct set.
-    classes = scratch.hold(base.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n")))
-    reps = base.join(classes.select("d1", "d2", F.col("id").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi")
-    keyed = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    # Copies first: one node for each distinct set, its least doc_id. What copies share is aggregated before the shuffle.
+    classes = scratch.keep(base.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
+    # Documents of several texts link the sets of these.
+    several = base.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select("doc_id")
+    tied = base.select("doc_id", "d1", "d2").join(several, "doc_id").join(classes.select("d1", "d2", "id"), ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
+    tied = scratch.keep(tied.distinct())
+    keyed = classes.select("id", F.col("d1").alias("s"), "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = scratch.keep_compact(keyed.join(scratch.hold(shared), "key"))
+    members = scratch.keep(keyed.join(shared, "key"))
     # The full sets of those that share any bucket.
-    wanted = scratch.keep_compact(members.select("id").distinct())
-    sets = scratch.hold(map_chunks(docs.join(scratch.maybe_broadcast(wanted.withColumnRenamed("id", "doc_id"), limit=ID_BYTES, of=wanted), "doc_id", "left_semi"), _sets(width), "id long, elements array<long>, parity array<long>"), large=True)
+    wanted = scratch.keep(members.select("id").distinct())
+    sets = scratch.hold(map_chunks(docs.join(scratch.maybe_broadcast(wanted.withColumnRenamed("id", "doc_id"), of=wanted), "doc_id", "left_semi"), _sets(width), "id long, s long, elements array<long>, parity array<long>"), large=True)
     # An element that no other of these sets has can be in no intersection. What a set has besides such elements, `c`,
     # bounds its intersections, so most members of a bucket that are too far apart never become a pair.
-    alone = sets.select("id", F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("u"))
-    able = scratch.keep_compact(members.join(alone, "id", "left").withColumn("c", F.col("n") - F.coalesce("u", F.lit(0))).where(F.col("c") * 100 >= F.col("n") * percent).select("key", "id", "n", "c"))
-    members = able.join(scratch.hold(able.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")), "key")
-    tested = None
-    comp = None
-    turn = 0
+    alone = sets.select(F.struct("id", "s").alias("o"), F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("k"), F.min("o").alias("o")).where("k = 1").groupBy("o.id", "o.s").agg(F.count("*").alias("u"))
+    able = members.join(alone, ["id", "s"], "left").withColumn("c", F.col("n") - F.coalesce("u", F.lit(0))).where(F.col("c") * 100 >= F.col("n") * percent).select("key", "id", "s", "n", "c")
+    able = scratch.keep(able)
+    members = scratch.keep(able.join(able.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "key"))
+    comp = tied.selectExpr("a as node", "b as component") if tied.isEmpty() else components(tied, scratch)
+    tested, turn = None, 0
     while True:
-        now = members if comp is None else members.join(comp.withColumnRenamed("node", "id"), "id", "left")
-        now = now.select("key", "id", "n", "c", (F.col("id") if comp is None else F.coalesce("component", "id")).alias("comp"))
-        if comp is not None:
-            # Buckets that still hold more than one component, and how many pairs they would give.
+        now = members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "s", "n", "c", F.coalesce("component", "id").alias("comp"))
+        if turn:
+            # Buckets that still hold more than one component, how many pairs they would give, and their largest component.
             sizes = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
-            open_ = sizes.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("k")).where("k > 1")
-            open_ = scratch.keep_compact(open_.select("key", (F.col("all") * F.col("all") - F.col("own")).alias("twice"), "all"))
-            left, rows_left = open_.agg(F.sum("twice"), F.sum("all")).first()
-            if not left:
+            open_ = sizes.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("largest")).where("k > 1")
+            open_ = scratch.keep(open_.select("key", (F.col("all") * F.col("all") - F.col("own")).alias("twice"), "all", F.col("largest.comp").alias("largest")))
+            twice, rows_left = open_.agg(F.sum("twice"), F.sum("all")).first()
+            if not twice:
                 break
-            now = now.join(open_.select("key"), "key")
-            if left // 2 <= 16 * rows_left or turn >= 1:
-                marked = now.join(sets.select("id", "parity"), "id")
-                one, two = (marked.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "c", "comp", "parity"))) for s in "ab")
-                # at least so many elements stand in only one of the two sets; the similarity allows but a share of both
-                apart = sum(F.bit_count(F.get("parity_a", F.lit(i)).bitwiseXOR(F.get("parity_b", F.lit(i)))) for i in range(PARITY_WORDS))
-                pairs = one.join(two, "key").where("id_a < id_b and comp_a <> comp_b").where(apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
-                last = True
-            else:
-                last = False
+            now = now.join(open_.select("key", "largest"), "key")
+        last = turn > 0 and (twice <= 2 * PAIRS * rows_left or turn >= PIVOTS)
+        if last:
+            marked = scratch.hold(now.join(sets.select("id", "s", "parity"), ["id", "s"]))
+            one, two = (marked.select("key", "largest", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "c", "comp", "parity"))) for s in "ab")
+            # at least so many elements stand in only one of the two sets; the similarity allows but a share of both
+            apart = sum(F.bit_count(F.get("parity_a", F.lit(i)).bitwiseXOR(F.get("parity_b", F.lit(i)))) for i in range(PARITY_WORDS))
+            pairs = one.where("comp_a <> largest").join(two.drop("largest"), "key").where("comp_a <> comp_b and (id_a < id_b or comp_b = largest)").where(apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+            pairs = pairs.withColumns({"id_a": F.least("id_a", "id_b"), "id_b": F.greatest("id_a", "id_b")})
         else:
-            last = False
-        if not last:
             order = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
             pivots = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "c", "comp")).alias("p"))
             pairs = now.join(pivots, "key").where("comp <> p.comp").select(F.least("id", "p.id").alias("id_a"), F.greatest("id", "p.id").alias("id_b"), F.col("n").alias("n_a"), F.col("p.n").alias("n_b"), F.col("c").alias("c_a"), F.col("p.c").alias("c_b"))
@@ -177,16 +183,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = pairs.where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.keep_compact(pairs)
-        found = scratch.keep_compact(_confirmed(pairs, sets, percent))
+        pairs = scratch.keep(pairs)
+        found = _confirmed(pairs, sets, percent)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if comp is None else found.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        comp = components(links, scratch)
+        comp = components(scratch.keep_compact(found.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))), scratch)
         turn += 1
         if last:
             break
-    mapped = classes.select("d1", "d2", F.col("id").alias("node")).join(comp, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("c"))
-    out = base.select("doc_id", "n_shingles", "d1", "d2").join(mapped, ["d1", "d2"], "left")
+    mapped = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", "copies", F.coalesce("component", "id").alias("c"))
+    # A set that holds many rows would be one key of a shuffle: the few such sets go to all rows instead.
+    mapped = scratch.keep(mapped)
+    rows = base.select("doc_id", "n_shingles", "d1", "d2")
+    most = (mapped.agg(F.sum("copies")).first()[0] or 0) * HOT
+    hot = F.broadcast(mapped.where(F.col("copies") > most).drop("copies"))
+    out = rows.join(hot, ["d1", "d2"]).unionByName(rows.join(hot, ["d1", "d2"], "left_anti").join(mapped.where(F.col("copies") <= most).drop("copies"), ["d1", "d2"], "left"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -194,5 +204,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with their columns. Rows with a null doc_id stay."""
     scratch = Scratch(docs.sparkSession)
-    gone = scratch.keep_compact(near_duplicates(docs, **options).where("not kept").select("doc_id").distinct())
-    return docs.join(scratch.maybe_broadcast(gone, ID_BYTES), "doc_id", "left_anti").select(*docs.columns)
+    gone = scratch.keep(near_duplicates(docs, **options).where("not kept").select("doc_id").distinct())
+    return docs.join(scratch.maybe_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)

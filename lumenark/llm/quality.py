@@ -177,5 +177,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang",
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), stratum_of(docs, stratum).alias("stratum"), "text").join(scratch.maybe_broadcast(known.select("doc_id"), of=known), "doc_id", "left_semi")
     measured = scratch.hold(labelled.select("doc_id", "stratum", measures(F.col("text")).alias("m")))
     cutoffs = scratch.hold(fit(measured, known, **options))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), stratum_of(docs, stratum).alias("stratum"), measures(F.col("text")).alias("m"))
+    # a generator of one row: what stands above it reads its result, where a plain projection would be copied into the filter
+    rows = docs.select(F.struct(*docs.columns).alias("row"), stratum_of(docs, stratum).alias("stratum"), F.inline(F.array(F.struct(measures(F.col("text")).alias("m")))))
     return judge(rows, scratch.maybe_broadcast(cutoffs)).where("kept").select("row.*")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import ID_BYTES, Scratch, as_binary, chunks, digest, documents_of, gram_hashes, map_chunks, signed, word_hashes
+from lumenark.llm.common import Scratch, as_binary, chunks, digest, documents_of, gram_hashes, map_chunks, signed, word_hashes
 
 WINDOW, ANCHOR = 20, 8
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -217,7 +217,7 @@ def removal_intervals(docs: DataFrame, scratch: Scratch, window: int = WINDOW, a
     copies = scratch.hold(long_.select(*ROW, "d1", "d2").join(copied, ["d1", "d2"]).where("doc_id <> first").select(*ROW).distinct())
     occurrences = long_.select(*ROW, "anchors").join(scratch.maybe_broadcast(copies), ROW, "left_anti").select(*ROW, F.explode("anchors").alias("k"))
     repeated = scratch.hold(occurrences.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"))
-    hits = scratch.keep_compact(occurrences.join(repeated, "k").groupBy(*ROW).agg(F.collect_set("k").alias("hits")), 100_000)
+    hits = scratch.keep(occurrences.join(repeated, "k").groupBy(*ROW).agg(F.collect_set("k").alias("hits")))
     spans = scratch.keep(map_chunks(docs.join(scratch.maybe_broadcast(hits), ROW), _spans(window, anchor), "doc_id long, t long, k long, span long, at int, n int, windows array<long>"))
     own = spans.where("k is null").select(*ROW, "at", "n")
     cross = spans.where("k is not null")
@@ -230,7 +230,7 @@ def removal_intervals(docs: DataFrame, scratch: Scratch, window: int = WINDOW, a
     cuts = own.unionByName(later).unionByName(windows).groupBy(*ROW).agg(F.collect_list(F.col("at").cast("long") * (1 << _LENGTH_BITS) + F.col("n")).alias("cuts"))
     empty = F.array().cast("array<bigint>")
     plan = cuts.select(*ROW, F.lit(False).alias("gone"), "cuts").unionByName(copies.select(*ROW, F.lit(True).alias("gone"), empty.alias("cuts")))
-    return base, scratch.keep_compact(plan.groupBy(*ROW).agg(F.max("gone").alias("gone"), F.flatten(F.collect_list("cuts")).alias("cuts")), 200_000)
+    return base, scratch.keep(plan.groupBy(*ROW).agg(F.max("gone").alias("gone"), F.flatten(F.collect_list("cuts")).alias("cuts")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = True) -> DataFrame:
@@ -251,7 +251,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     changed = map_chunks(docs.join(scratch.maybe_broadcast(plan.where("not gone"), of=plan), ROW), _cut(window), "doc_id long, left long, n_removed long, kept_sha256 string, kept_text string")
     partly = changed.select("doc_id", (F.col("left") + F.col("n_removed")).alias("n_words"), "n_removed", "kept_sha256")
     marks = plan.select(*ROW, "gone")
-    rest = base.select(*ROW, "n_words", "sha").join(scratch.maybe_broadcast(marks, ID_BYTES, plan), ROW, "left").where("gone is null or gone")
+    rest = base.select(*ROW, "n_words", "sha").join(scratch.maybe_broadcast(marks, of=plan), ROW, "left").where("gone is null or gone")
     rest = rest.select("doc_id", "n_words", F.when(F.col("gone"), F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("gone"), F.lit(_EMPTY_SHA)).otherwise(F.col("sha")).alias("kept_sha256"))
     return rest.unionByName(partly)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenark.llm.common import ID_BYTES, Scratch, as_binary, documents_of, map_chunks, word_hashes
+from lumenark.llm.common import Scratch, as_binary, documents_of, map_chunks, word_hashes
 
 #: Labelled rows for the fit, half of them toxic where there are so many; feature places; features kept; grades above 0.
 SAMPLE, BITS, FEATURES, GRADES, STEM = 16_000, 20, 4096, 3, 5
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grades: int =
     order = F.xxhash64("doc_id")
     some = known.where("toxic > 0").orderBy(order, "doc_id").limit(sample // 2).unionByName(known.where("toxic <= 0").orderBy(order, "doc_id").limit(sample - sample // 2))
     some = scratch.keep_compact(some)
-    table = map_chunks(documents_of(docs).join(scratch.maybe_broadcast(some, ID_BYTES), "doc_id").select("text", "toxic", "grade"), _features, "toxic int, grade int, n long, places array<int>, counts array<int>").toArrow()
+    table = map_chunks(documents_of(docs).join(scratch.maybe_broadcast(some), "doc_id").select("text", "toxic", "grade"), _features, "toxic int, grade int, n long, places array<int>, counts array<int>").toArrow()
     toxic = table.column("toxic").to_numpy() > 0
     if not toxic.any() or toxic.all():
         return None

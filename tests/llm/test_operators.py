@@ -66,6 +66,34 @@ def test_near_duplicates(spark, docs, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in got.items() if c == i}
 
 
+def test_near_duplicates_of_documents_with_several_texts(spark):
+    """A document is linked by each of its texts; rows of other documents that share elements with them lose no link."""
+    r = random.Random(8)
+    texts = [[f"t{k}x{r.randrange(99999)}" for _ in range(80)] for k in range(3)]
+    near = [" ".join(w[:-2] + ["q", f"z{i}"]) for i, w in enumerate(texts)]
+    a, b, c = (" ".join(w) for w in texts)
+    for rows, expected in (
+        ([(7, a), (7, b), (8, near[0]), (9, near[0])], {7: 7, 8: 7, 9: 7}),
+        ([(3, b), (7, near[1]), (7, c), (2, near[2]), (1, a), (7, ""), (7, None)], {3: 2, 7: 2, 2: 2, 1: 1}),
+    ):
+        got = near_dedup.near_duplicates(make(spark, [(i, t, "s") for i, t in rows])).collect()
+        assert len(got) == len(rows) and {(x.doc_id, x.component_id) for x in got if x.n_shingles} == set(expected.items())
+
+
+def test_buckets_of_many_components_go_on_with_pivots(spark, monkeypatch):
+    """Documents of shared lines that are not alike enough, in one bucket; few pairs allowed a round."""
+    monkeypatch.setattr(near_dedup, "PAIRS", 0)
+    r = random.Random(9)
+    shared = [f"s{i}" for i in range(300)]
+    rows = []
+    for i in range(60):
+        at = r.randrange(40)
+        rows.append((i, " ".join(shared[at : at + 100] + [f"own{i // 2}x{j}" for j in range(r.randint(10, 60))]), "s"))
+    rows += [(100 + i, rows[i][1], "s") for i in range(40)] + [(200 + i, rows[0][1], "s") for i in range(50)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(make(spark, rows), bands=40, rows=2).collect()}
+    assert got == brute.near([(i, t) for i, t, _ in rows])
+
+
 def test_chains_and_large_groups_are_joined(spark):
     """A chain whose ends are unlike, and a group of copies that differ a little."""
     words = [f"w{i}" for i in range(400)]
