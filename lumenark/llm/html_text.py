@@ -2,11 +2,15 @@
 
 A page is read once into blocks (text between block-level tags) with their root-to-leaf tag path. For every path of a page
 the text length and the punctuation per block are summed, smoothed over the page's block order with a Gaussian, fused into
-one score (geometric mean of both), and compared with a threshold relative to the page's best path. The blocks of paths
-above it are the page's content nodes. The smallest element that holds (nearly) all of them is the article, where an
-<article> or <main> that holds them goes before what is smaller; it is returned whole, so that short paragraphs and headings inside it, whose paths score low, are not lost. Subtrees that by their tag,
-role or class name are menus, headers, footers, sidebars, notices, adverts, forms or reader comments, and paths that are
-mostly links, are left out; by its name alone no element is that holds most of the content nodes.
+one score (geometric mean of both), weighted by what the names on the path say, and compared with a threshold relative to the
+page's best path. The blocks of paths above it are the page's content nodes.
+
+The smallest element that holds (nearly) all content nodes is the article; an <article> or <main> around it that holds them
+goes before what is smaller. Blocks inside it that no path chose, such as headings and short paragraphs, are kept unless
+their path is named worse than the article's own or is mostly links. Names (class, id, <form>) only weigh: where all text of a
+page stands under a name, the weight changes nothing. Menus, footers, sidebars and the like by tag or role are left out.
+
+Every step is linear in the page: tags are read once, elements are numbered in page order, sums go from the last to the first.
 """
 
 from __future__ import annotations
@@ -26,10 +30,14 @@ from lumenark.llm.common import map_chunks
 
 #: Share of the best path's score that makes content; width of the smoothing in blocks; share of content the article holds.
 THRESHOLD, SIGMA, HOLDS = 0.25, 1.0, 0.9
-#: Share of content beyond which an element stays whatever its name; readers can write more than the author.
-MOST, MOST_COMMENTS = 0.5, HOLDS
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?][^>]*>", re.S)
+#: Weights of a path under a name that means page furniture, and under one that may stand in an article as well.
+FURNITURE, DOUBTFUL = 0.005, 0.4
+#: Named elements inside one another lower a weight no further than this.
+LEAST = 1e-9
+
+_OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"[^\s/>]*")
+_STOP = re.compile(r"[\"'>]")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？]")
 
@@ -37,14 +45,13 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr ruby rt rp".split())
-SKIPPED = frozenset("head nav footer aside form script style noscript template iframe svg canvas object button select textarea fieldset dialog menu audio video map datalist".split())
-SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-SKIPPED_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer "
-    "masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
-    "comment comments commentlist disqus respond replies reply pagination pager toolbar skip hidden adsbygoogle adbox adslot cookiebar cookiebanner navmenu topnav sidenav sitenav sitefooter siteheader".split()
+SKIPPED = frozenset("head nav footer aside script style noscript template iframe svg canvas object button select textarea dialog menu audio video map datalist".split())
+SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+FURNITURE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr popup modal overlay promo promotion "
+    "newsletter subscribe subscription signup login comment comments commentlist disqus respond replies reply pagination pager toolbar adsbygoogle adbox adslot cookiebar cookiebanner navmenu topnav sidenav sitenav sitefooter siteheader".split()
 )
-COMMENT_NAMES = frozenset("comment comments commentlist disqus respond replies reply".split())
+DOUBTFUL_NAMES = frozenset("share sharing social related recommended recommendations notice notices alert widget widgets skip hidden header".split())
 #: What follows these in a class or id says what an element has or lacks, not what it is.
 MODIFIERS = frozenset("has no with without".split())
 CLOSED_BY = {
@@ -74,25 +81,34 @@ def _left_out(tag: str, attributes: dict[str, str], inside_article: bool) -> boo
     return False
 
 
-def _stays_beyond(tag: str, attributes: dict[str, str], inside_article: bool) -> float | None:
-    """For an element whose class or id names what is not article text: the share of content beyond which it stays."""
+def _weight(tag: str, attributes: dict[str, str], inside_article: bool) -> float:
+    """What an element's name says of its text: 1, DOUBTFUL or FURNITURE."""
+    if tag == "form":
+        return FURNITURE
     if tag in ("html", "body", "article", "main") or not ("class" in attributes or "id" in attributes):
-        return None
+        return 1.0
     names = set()
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
         names.update(itertools.takewhile(lambda x: x not in MODIFIERS, re.split(r"[^a-z0-9]+", name)))
-    if not SKIPPED_NAMES.isdisjoint(names) or {"side", "bar"} <= names or (not inside_article and "header" in names):
-        return MOST if COMMENT_NAMES.isdisjoint(names) else MOST_COMMENTS
-    return None
+    if not FURNITURE_NAMES.isdisjoint(names) or {"side", "bar"} <= names:
+        return FURNITURE
+    return DOUBTFUL if not (DOUBTFUL_NAMES - {"header"} if inside_article else DOUBTFUL_NAMES).isdisjoint(names) else 1.0
 
 
 class _Element:
-    __slots__ = ("article", "children", "named", "out", "parent", "path", "stays", "tag")
+    """An open or closed element. Elements are numbered in page order, so `at` to `end` are those inside it."""
+
+    __slots__ = ("article", "at", "block", "closable", "end", "out", "parent", "path", "tag", "weight")
+
+    def __init__(self, tag: str, parent: _Element | None, at: int, path: int, weight: float, out: bool, article: bool):
+        self.tag, self.parent, self.at, self.path, self.weight, self.out, self.article, self.end = tag, parent, at, path, weight, out, article, -1
+        #: The nearest element, from this one up, that is not part of a line.
+        self.block = parent.block if parent is not None and tag in INLINE else self
+        #: The nearest element, from this one up, that a start tag may close, but not beyond the scope it stands in.
+        self.closable = self if tag in CLOSED_BY else None if parent is None or tag in SCOPES else parent.closable
 
-    def __init__(self, tag: str, path: str, parent: _Element | None, out: bool, article: bool, stays: float | None = None):
-        self.tag, self.path, self.parent, self.out, self.article, self.stays = tag, path, parent, out, article, stays
-        #: The nearest element, from this one up, that its name may leave out.
-        self.named = self if stays is not None else parent.named if parent is not None else None
+    def holds(self, other: _Element) -> bool:
+        return self.at <= other.at < self.end
 
 
 class Block:
@@ -104,11 +120,51 @@ class Block:
         self.element, self.text, self.linked = element, text, linked
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order, without those left out by tag or role, or inside a line by name."""
-    root = _Element("", "", None, False, False)
-    now, out, parts, linked, links = root, [], [], 0, 0
-    owner = root
+class _Tags:
+    """The tags of a page one after another. Where quotes do not match up to its end, the rest is read without them."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, closing, attributes) of the next tag from `at`; the name is empty for comments and the like."""
+        page = self.page
+        while m := _OPEN.search(page, at):
+            start, opening = m.start(), m[0]
+            if opening == "<!--":
+                end = page.find("-->", start + 2)
+                return start, end + 3 if end >= 0 else len(page), "", False, ""
+            if m.end() > self.last[">"]:
+                return None
+            if opening in ("<!", "<?"):
+                return start, page.index(">", start) + 1, "", False, ""
+            closing = opening[1] == "/"
+            name = _NAME.match(page, start + 1 + closing)
+            end = self._end(name.end())
+            return start, end + 1, name[0].lower(), closing, page[name.end() : end]
+        return None
+
+    def _end(self, at: int) -> int:
+        """The place of the > that ends a tag; there is one."""
+        if self.quotes:
+            from_ = at
+            while m := _STOP.search(self.page, from_):
+                if m[0] == ">":
+                    return m.start()
+                # a quote that nothing closes is an ordinary character
+                from_ = self.page.index(m[0], m.end()) + 1 if m.start() < self.last[m[0]] else m.end()
+            self.quotes = False
+        return self.page.index(">", at)
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[_Element]]:
+    """The page's blocks in order, without those left out by tag or role, and its elements."""
+    paths: dict[tuple, int] = {}
+    root = _Element("", None, 0, 0, 1.0, False, False)
+    elements, now, out, parts, linked, links = [root], root, [], [], 0, 0
+    owner, open_ = root, defaultdict(int)
+    tags = _Tags(page)
 
     def close():
         nonlocal parts, linked
@@ -123,67 +179,69 @@ def blocks_of(page: str) -> list[Block]:
         if not text or now.out:
             return
         if not parts:
-            owner = now
-            while owner.tag in INLINE:
-                owner = owner.parent
+            owner = now.block
         text = html.unescape(text) if "&" in text else text
         parts.append(text)
         if links:
             linked += len(text.strip())
 
+    def leave(last: _Element):
+        nonlocal now, links
+        while True:
+            links -= now.tag == "a"
+            open_[now.tag] -= 1
+            now.end = len(elements)
+            now, done = now.parent, now is last
+            if done:
+                return
+
     at = 0
-    while m := _TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+    while (found := tags.next(at)) is not None:
+        start, end, tag, closing, rest = found
+        add(page[at:start])
+        at = end
         if not tag:
             continue
-        if m[1]:
+        if closing:
             if tag not in INLINE:
                 close()
-            there = now
-            while there.parent is not None and there.tag != tag:
-                there = there.parent
-            if there.parent is not None:
-                while True:
-                    links -= now.tag == "a"
-                    now, done = now.parent, now is there
-                    if done:
-                        break
+            if open_[tag]:
+                there = now
+                while there.tag != tag:
+                    there = there.parent
+                leave(there)
             continue
         if tag not in INLINE:
             close() if tag != "br" else parts.append(" ") if parts else None
         if tag in VOID:
             continue
-        there, depth = now, 0
-        while there.parent is not None and depth < 64:
-            if tag in CLOSED_BY.get(there.tag, ()):
-                while True:
-                    links -= now.tag == "a"
-                    now, done = now.parent, now is there
-                    if done:
-                        break
+        there = now.closable
+        while there is not None:
+            if tag in CLOSED_BY[there.tag]:
+                leave(there)
                 break
-            if there.tag in SCOPES:
-                break
-            there, depth = there.parent, depth + 1
-        attributes = _attributes(m[3]) if m[3].strip(" /\n\t\r") else {}
-        article = now.article or tag in ("article", "main")
+            there = None if there.tag in SCOPES else there.parent.closable
+        attributes = _attributes(rest) if rest.strip(" /\n\t\r") else {}
         names = attributes.get("class", "").split()
-        stays = _stays_beyond(tag, attributes, now.article)
-        out_ = now.out or _left_out(tag, attributes, now.article) or (stays is not None and tag in INLINE)
-        now = _Element(tag, f"{now.path}/{tag}" + (f".{names[0]}" if names else ""), now, out_, article, stays)
+        weight = max(now.weight * _weight(tag, attributes, now.article), LEAST)
+        path = paths.setdefault((now.path, tag, names[0] if names else "", weight), len(paths) + 1)
+        hidden = now.out or _left_out(tag, attributes, now.article) or (tag in INLINE and weight < now.weight)
+        now = _Element(tag, now, len(elements), path, weight, hidden, now.article or tag in ("article", "main"))
+        elements.append(now)
+        open_[tag] += 1
         links += tag == "a"
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(page, at)
-            now, at = now.parent, end.end() if end else len(page)
+            at = end.end() if end else len(page)
+            leave(now)
     add(page[at:])
     close()
-    return out
+    leave(root)
+    return out, elements
 
 
-def content_blocks(blocks: list[Block], threshold: float = THRESHOLD, sigma: float = SIGMA) -> list[bool]:
-    """Which blocks stand on a path whose smoothed, fused text and punctuation ratio reaches the threshold."""
+def content_blocks(blocks: list[Block], threshold: float = THRESHOLD, sigma: float = SIGMA) -> tuple[list[bool], set[int]]:
+    """Which blocks stand on a path whose smoothed, fused and weighted score reaches the threshold; and the paths of links."""
     chars, marks, linked, count = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
     for b in blocks:
         p = b.element.path
@@ -201,101 +259,38 @@ def content_blocks(blocks: list[Block], threshold: float = THRESHOLD, sigma: flo
     def smooth(x: list[float]) -> list[float]:
         return [sum(k * x[min(max(i + d, 0), len(x) - 1)] for k, d in zip(kernel, reach, strict=True)) / total for i in range(len(x))]
 
-    fused: dict[str, list[float]] = defaultdict(list)
-    for b, x, y in zip(blocks, smooth(length), smooth(points), strict=True):
-        fused[b.element.path].append(math.sqrt(x * (y + 0.1)))
-    score = {p: 0.0 if p in links else sum(v) / len(v) for p, v in fused.items()}
+    score: dict[int, float] = defaultdict(float)
+    for i, (b, x, y) in enumerate(zip(blocks, smooth(length), smooth(points), strict=True)):
+        if b.element.weight < 1:  # what is named must read like text itself, not stand beside it
+            x, y = min(x, length[i]), min(y, points[i])
+        if b.element.path not in links:
+            score[b.element.path] += b.element.weight * math.sqrt(x * (y + 0.1)) / count[b.element.path]
     best = max(score.values(), default=0.0)
-    return [best > 0 and score[b.element.path] >= threshold * best for b in blocks]
-
-
-def without_named(blocks: list[Block]) -> list[Block]:
-    """The blocks outside all elements that are left out by their names: comments first, the rest by the content then left.
-
-    A name stands, whatever its element holds, where one <article> or <main> elsewhere is the page's article.
-    """
-    if all(b.element.named is None for b in blocks):
-        return blocks
-    content = dict(zip(map(id, blocks), content_blocks(blocks), strict=True))
-    for stays in (MOST_COMMENTS, MOST):
-        total, weight = 0, defaultdict(int)
-        for b in blocks:
-            n = len(b.text) if content[id(b)] else 0
-            total += n
-            for e in _named(b.element):
-                if e.stays == stays:
-                    weight[e] += n
-        out = {e for e, w in weight.items() if w <= stays * total or _marked_elsewhere(blocks, e)}
-        blocks = [b for b in blocks if out.isdisjoint(_named(b.element))]
-    return blocks
-
-
-def _marked_elsewhere(blocks: list[Block], of: _Element) -> bool:
-    """Whether blocks that no name leaves out, outside this element, lie in one <article> or <main> that does not hold it."""
-    above = set(_upward(of))
-    found = set()
-    for b in blocks:
-        if b.element.article and above.issuperset(_named(b.element)) and not _within(b.element, of):
-            found.update([e for e in _upward(b.element) if e.tag in ("article", "main") and e not in above][-1:])
-    return len(found) == 1
-
-
-def _upward(e: _Element | None) -> Iterator[_Element]:
-    while e is not None:
-        yield e
-        e = e.parent
-
-
-def _named(e: _Element) -> Iterator[_Element]:
-    e = e.named
-    while e is not None:
-        yield e
-        e = e.parent.named
+    many = {p for p in links if count[p] >= 3 and linked[p] > 0.8 * chars[p]}
+    return [best > 0 and score[b.element.path] >= threshold * best for b in blocks], many
 
 
 def article_text(page: str | None) -> str:
     """The article's text: references decoded, white space in a block made one space, blocks joined by one space."""
     if not page:
         return ""
-    blocks = without_named(blocks_of(page))
-    chosen = content_blocks(blocks)
-    weight: dict[int, int] = defaultdict(int)
-    elements: dict[int, _Element] = {}
-    total = 0
+    blocks, elements = blocks_of(page)
+    chosen, link_lists = content_blocks(blocks)
+    held = [0.0] * len(elements)
     for b, c in zip(blocks, chosen, strict=True):
-        if not c:
-            continue
-        total += len(b.text)
-        e = b.element
-        while e is not None:
-            weight[id(e)] += len(b.text)
-            elements[id(e)] = e
-            e = e.parent
-    if not total:
+        if c:
+            held[b.element.at] += len(b.text) * min(1.0, b.element.weight / DOUBTFUL)
+    for e in reversed(elements[1:]):
+        held[e.parent.at] += held[e.at]
+    if not held[0]:
         return " ".join(b.text for b in blocks if b.element.article)
-    around = [elements[k] for k, w in weight.items() if w >= HOLDS * total]
-    named = [e for e in around if e.tag in ("article", "main")]
-    if named:  # the page says which part is its article
-        smallest = max(named, key=lambda e: e.path.count("/"))
-        return " ".join(b.text for b in blocks if _within(b.element, smallest))
-    smallest = max(around, key=lambda e: e.path.count("/"))
-    while smallest.tag in ("p", "li", "h1", "h2", "h3", "td") and smallest.parent is not None:
-        smallest = smallest.parent
-    held = [b for b in blocks if _within(b.element, smallest)]
-    chars, linked, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for b in held:
-        chars[b.element.path] += len(b.text)
-        linked[b.element.path] += b.linked
-        count[b.element.path] += 1
-    return " ".join(b.text for b in held if not (count[b.element.path] >= 3 and linked[b.element.path] > 0.8 * chars[b.element.path]))
-
-
-def _within(e: _Element | None, of: _Element) -> bool:
-    while e is not None:
-        if e is of:
-            return True
-        e = e.parent
-    return False
+    # those that hold nearly all are one inside the other, so the last is the smallest
+    around = [e for e in elements if held[e.at] >= HOLDS * held[0]]
+    article = around[-1]
+    while article.tag in ("p", "li", "h1", "h2", "h3", "td") and article.parent is not None:
+        article = article.parent
+    article = next((e for e in reversed(around) if e.tag in ("article", "main")), article)
+    return " ".join(b.text for b, c in zip(blocks, chosen, strict=True) if article.holds(b.element) and (c or (b.element.weight >= article.weight and b.element.path not in link_lists)))
 
 
 def _batch(batch: pa.RecordBatch) -> pa.RecordBatch:

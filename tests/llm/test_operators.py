@@ -271,6 +271,33 @@ def test_html_names_do_not_leave_out_the_article():
     assert html_text.article_text(page) == one
 
 
+def test_html_paths_are_chosen_by_their_ratios():
+    """Without an <article>: paths that read like the text are content whatever their class, short ones outside it are not."""
+    one, two, three = sentences("one"), sentences("two"), sentences("three")
+    for name in ("share", "related-work", "notice", "social"):
+        page = f'<body><ul class="menu"><li>Home<li>About us</ul><div><h2>Head</h2><p>{one}</p><p class="{name}">{two}</p><p>{three}</p></div><div class="{name}">Share this</div><div class="ad">Buy now</div></body>'
+        assert html_text.article_text(page) == f"Head {one} {two} {three}", name
+        page = f'<body><div><h2>Head</h2><p>{one}</p><section id="{name}"><p>{two}</p></section><p class="{name}">Share this</p><p>{three}</p></div></body>'
+        assert html_text.article_text(page) == f"Head {one} {two} {three}", name
+    # a page inside a form, and a form inside a page
+    assert html_text.article_text(f"<body><form><div><p>{one}</p><p>{two}</p></div></form></body>") == f"{one} {two}"
+    assert html_text.article_text(f"<body><div><p>{one}</p><form><p>Sign up, now, please.</p></form><p>{two}</p></div></body>") == f"{one} {two}"
+    # a list of links in the text, and a navigation without any name
+    links = "".join(f"<li><a href=x>Link {i}, with words</a></li>" for i in range(9))
+    assert html_text.article_text(f"<body><ul>{links}</ul><div><p>{one}</p><p>{two}</p></div></body>") == f"{one} {two}"
+    # implied end tags are found however deep the line is
+    assert html_text.article_text(f"<div><p>{one}" + "<b>" * 500 + f"<p>{two}</div>") == f"{one} {two}"
+
+
+@pytest.mark.parametrize("page", ['<a "' * 20_000, '<a "' * 20_000 + ">", "<b>" * 100_000, "<div>a, b. " * 50_000, '<div class="ad">a, b. ' * 50_000, "<p>" + "<b>" * 30_000 + "<h1>x</h1>" * 30_000, "<b>" * 50_000 + "</x>" * 50_000, "<!" * 90_000, '<a b="' * 30_000 + '>"' * 30_000, "<ul>" + "<b>" * 20_000 + "<div>x</div>y" * 20_000])
+def test_html_is_linear_in_the_page(page):
+    import time
+
+    began = time.process_time()
+    html_text.article_text(page)
+    assert time.process_time() - began < 30
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/!-pbadiv \"'=&;#x1\n", max_size=80))
 def test_html_never_fails(page):
