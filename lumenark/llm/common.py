@@ -86,6 +86,7 @@ def map_chunks(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
                     yield out
                 else:
                     yield from out
+        pa.default_memory_pool().release_unused()  # workers are used again, and what a pool keeps counts as theirs
 
     return df.mapInArrow(run, schema)
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from lumenark.llm.common import Scratch, documents_of, map_chunks, mix
 
 Q, EDITS = 10, 0.08
+#: Bytes of documents searched at once: every character takes some dozens of bytes while it is.
+CHUNK = 1 << 20
 #: Bytes of benchmark text searched for in one pass; a larger benchmark takes several passes over the documents.
 BLOCK_BYTES = 4 << 20
 _OTHER = re.compile(r"[\W_]+")
@@ -92,8 +94,12 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], q: int, rate: float):
         self.q, self.ids, self.texts = q, [], []
+        #: Items too short for a q-gram, by their words.
+        self.short: dict[tuple[str, ...], list[int]] = {}
         for item_id, text in items:
             t = normalized(text)
+            if 0 < len(t) < q:
+                self.short.setdefault(tuple(t.split(" ")), []).append(item_id)
             if len(t) >= q:
                 self.ids.append(item_id)
                 self.texts.append(_codes(t))
@@ -112,8 +118,26 @@ class Index:
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
-    def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, edits, start, length) of the best occurrence of each item in each text."""
+    def search_short(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
+        """As search, for items too short for a q-gram: whole words, exactly."""
+        out = []
+        for n in {len(k) for k in self.short}:
+            for d, text in enumerate(texts):
+                words, at, seen = text.split(" "), 0, set()
+                for i in range(len(words) - n + 1):
+                    found = tuple(words[i : i + n])
+                    if found in self.short and found not in seen:
+                        seen.add(found)
+                        m = len(" ".join(found))
+                        out += [(d, item_id, 0, at, m, m) for item_id in self.short[found]]
+                    at += len(words[i]) + 1
+        return out
+
+    def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
+        """(text, item_id, edits, start, length, item_chars) of the best occurrence of each item in each text."""
+        return self.search_short(texts) + self.search_long(texts)
+
+    def search_long(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
         if not len(self.keys):
             return []
         codes = [_codes(t) for t in texts]
@@ -193,7 +217,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     An item occurs where its normalized text aligns with at most rate * item_chars edits (fewer for items so short that no
     shared q-gram would be sure). start and length are in the normalized document. Items of fewer than q normalized
-    characters are no evidence and are not searched. Null texts hold nothing; null ids are passed on; rows that repeat an
+    characters occur where their words stand exactly; items without letters or digits nowhere. Null texts hold nothing; null ids are passed on; rows that repeat an
     id are searched one by one; empty tables give no rows; other columns are ignored. Texts are searched whole. Ties go to
     the earliest place.
     """
@@ -203,7 +227,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     out = None
     for i in range(blocks):
         block = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).orderBy("item_id", "text").collect()]
-        part = map_chunks(docs, _search(block, q, rate), HITS)
+        part = map_chunks(docs, _search(block, q, rate), HITS, limit=CHUNK)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -6,11 +6,12 @@ hashed to 2**20 places; those whose counts tell the grades apart are kept. The m
 (SAMPLE rows, chosen by a hash of the id), on the driver; scoring is one pass over all texts.
 
 The labels say only whether a text is toxic. Toxic texts are graded by the share of their words that mark toxic texts in
-the sample: below the first tercile 1, below the second 2, else 3. A label table with a grade column is used as it is.
+the sample: below the first tercile 1, below the second 2, else 3. Grades in a column grade of the label table go before.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,16 +62,17 @@ class Model:
         return float(self.weights[kept].sum())
 
 
-def marking(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
-    """The places whose presence differs most between toxic and other texts (z of the log odds), and their log odds."""
-    n1, n0 = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
-    c1 = np.bincount(cols[toxic[rows]], minlength=1 << BITS)
-    c0 = np.bincount(cols[~toxic[rows]], minlength=1 << BITS)
-    odds = np.log((c1 + 0.5) / (n1 - c1 + 0.5)) - np.log((c0 + 0.5) / (n0 - c0 + 0.5))
-    z = odds / np.sqrt(1 / (c1 + 0.5) + 1 / (n1 - c1 + 0.5) + 1 / (c0 + 0.5) + 1 / (n0 - c0 + 0.5))
-    able = np.flatnonzero((c1 + c0 >= 5) & (np.abs(z) > 2.5))
-    best = able[np.argsort(-np.abs(z[able]), kind="stable")[:features]]
-    return best, odds[best]
+def marking(table: DataFrame, toxic: int, other: int, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """The places whose presence differs most between toxic and other texts (z of the log odds), and their log odds.
+
+    Counted in Spark; `features` rows at most come back.
+    """
+    c1, c0 = F.col("c1") + 0.5, F.col("c0") + 0.5
+    r1, r0 = F.lit(toxic + 1.0) - c1, F.lit(other + 1.0) - c0
+    counted = table.select("toxic", F.explode("places").alias("p")).groupBy("p").agg(F.sum((F.col("toxic") > 0).cast("long")).alias("c1"), F.sum((F.col("toxic") <= 0).cast("long")).alias("c0")).where("c1 + c0 >= 5")
+    odds = counted.select("p", (F.log(c1 / r1) - F.log(c0 / r0)).alias("odds"), F.sqrt(1 / c1 + 1 / r1 + 1 / c0 + 1 / r0).alias("error")).withColumn("z", F.abs(F.col("odds") / F.col("error")))
+    best = odds.where("z > 2.5").orderBy(F.desc("z"), "p").limit(features).select("p", "odds").collect()
+    return np.array([r.p for r in best], np.int64), np.array([r.odds for r in best], float)
 
 
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, n_cuts: int, rounds: int = 500, rate: float = 0.05, l2: float = 5e-5) -> tuple[np.ndarray, np.ndarray]:
@@ -122,32 +124,49 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grades: int =
     order = F.xxhash64("doc_id")
     some = known.where("toxic > 0").orderBy(order, "doc_id").limit(sample // 2).unionByName(known.where("toxic <= 0").orderBy(order, "doc_id").limit(sample - sample // 2))
     some = scratch.keep_compact(some)
-    table = map_chunks(documents_of(docs).join(scratch.maybe_broadcast(some), "doc_id").select("text", "toxic", "grade"), _features, "toxic int, grade int, n long, places array<int>, counts array<int>").toArrow()
-    toxic = table.column("toxic").to_numpy() > 0
-    if not toxic.any() or toxic.all():
+    found = map_chunks(documents_of(docs).join(scratch.maybe_broadcast(some), "doc_id").select("text", "toxic", "grade"), _features, "toxic int, grade int, n long, places array<int>, counts array<int>")
+    table = scratch.hold(found)
+    n, toxic = table.agg(F.count("*"), F.sum((F.col("toxic") > 0).cast("long"))).first()
+    if not toxic or toxic == n:
         return None
-    lists = table.column("places").combine_chunks()
-    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
-    rows = np.repeat(np.arange(len(toxic)), np.diff(lists.offsets.to_numpy()))
-    cols = lists.values.to_numpy().astype(np.int64)
-    best, odds = marking(rows, cols, toxic)
+    best, odds = marking(table, toxic, n - toxic)
     slot = np.full(1 << BITS, -1, np.int32)
     slot[best] = np.arange(len(best))
-    at = slot[cols]
-    if table.column("grade").null_count:
-        counts = table.column("counts").combine_chunks()
-        counts = (counts if isinstance(counts, pa.ListArray) else pa.concat_arrays(counts.chunks)).values.to_numpy()
-        marks = (at >= 0) & (odds[np.maximum(at, 0)] > 0) if len(best) else np.zeros(len(at), bool)
-        density = np.bincount(rows[marks], counts[marks], minlength=len(toxic)) / np.maximum(table.column("n").to_numpy(), 1)
-        limits = np.quantile(density[toxic], [(k + 1) / grades for k in range(grades - 1)])
-        y = np.where(toxic, 1 + np.searchsorted(limits, density, "right"), 0)
-    else:
-        y = np.clip(table.column("grade").to_numpy(), 0, grades)
-    kept = at >= 0
-    weights, cuts = fit_ordinal(rows[kept], at[kept], y.astype(np.int64), max(len(best), 1), grades)
+    # of each text only the kept features leave the executors
+    rows = table.mapInArrow(_kept(best, odds), "toxic int, grade int, density double, kept array<int>").toArrow()
+    scratch.drop(table)
+    toxic = rows.column("toxic").to_numpy() > 0
+    density = rows.column("density").to_numpy()
+    limits = np.quantile(density[toxic], [(k + 1) / grades for k in range(grades - 1)])
+    y = np.where(toxic, 1 + np.searchsorted(limits, density, "right"), 0)
+    given = rows.column("grade").to_pandas().to_numpy(float)
+    y = np.where(np.isnan(given), y, np.clip(np.nan_to_num(given), 0, grades)).astype(np.int64)
+    lists = pa.concat_arrays(rows.column("kept").chunks)
+    index = np.repeat(np.arange(len(toxic)), np.diff(lists.offsets.to_numpy()))
+    weights, cuts = fit_ordinal(index, lists.flatten().to_numpy().astype(np.int64), y, max(len(best), 1), grades)
     return Model(slot, weights, cuts)
 
 
+def _kept(best: np.ndarray, odds: np.ndarray):
+    """Of each text its kept features, and how many of its words and stems have positive log odds, by its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot = np.full(1 << BITS, -1, np.int32)
+        slot[best] = np.arange(len(best))
+        for batch in batches:
+            ends, density, lists = [0], [], []
+            for places_, counts, n in zip(batch.column("places"), batch.column("counts"), batch.column("n").to_pylist(), strict=True):
+                at = slot[places_.values.to_numpy()]
+                known = at >= 0
+                lists.append(at[known])
+                ends.append(ends[-1] + len(lists[-1]))
+                density.append(float(counts.values.to_numpy()[known][odds[lists[-1]] > 0].sum()) / max(n, 1) if len(lists[-1]) else 0.0)
+            kept = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists) if lists else np.empty(0, np.int32), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("grade"), pa.array(density, pa.float64()), kept], names=["toxic", "grade", "density", "kept"])
+
+    return run
+
+
 def _scored(model: Model):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         score = np.array([model.score(words_of(t)) for t in batch.column("text").to_pylist()], float)

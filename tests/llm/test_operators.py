@@ -316,13 +316,13 @@ def test_leaks(spark):
         return "".join(s)
 
     rows = [(i, filler[i] + " " + (items[i][1].upper() + "!" if i < 5 else edited(items[i][1], 5) if i < 10 else "") + "\n" + filler[i], "s") for i in range(20)]
-    rows += [(50, None, "s"), (51, "", "s"), (None, items[7][1], "s"), (52, " ".join(filler) * 20 + items[3][1], "s"), (3, rows[3][1], "s")]
-    bench = spark.createDataFrame([*((i, t, 1) for i, t in items), (90, None, 1), (91, "short", 1), (92, items[0][1], 1)], "item_id long, text string, doc_id int")
+    rows += [(60, "too Short, so", "s"), (61, "shorts are not", "s"), (50, None, "s"), (51, "", "s"), (None, items[7][1], "s"), (52, " ".join(filler) * 20 + items[3][1], "s"), (3, rows[3][1], "s")]
+    bench = spark.createDataFrame([*((i, t, 1) for i, t in items), (90, None, 1), (91, "short", 1), (92, items[0][1], 1), (93, "--", 1)], "item_id long, text string, doc_id int")
     got = {(x.doc_id, x.item_id): x.edits for x in decontamination.find_leaks(make(spark, rows), bench).collect()}
-    assert set(got) == {(i, i) for i in range(10)} | {(None, 7), (52, 3), (0, 92)}
+    assert set(got) == {(i, i) for i in range(10)} | {(None, 7), (52, 3), (0, 92), (60, 91)}
     assert all(got[i, i] == 0 for i in range(5)) and all(0 < got[i, i] <= 5 for i in range(5, 10))
     left = {x.doc_id for x in decontamination.without_leaks(make(spark, rows), bench).collect()}
-    assert left == {*range(10, 20), 50, 51, None}
+    assert left == {*range(10, 20), 50, 51, 61, None}
     assert decontamination.find_leaks(make(spark, rows).limit(0), bench).count() == 0
     assert decontamination.find_leaks(make(spark, rows), bench.limit(0)).count() == 0
 
@@ -510,6 +510,9 @@ def test_toxicity(spark, empty):
     assert not toxicity.severity(make(spark, rows), table.limit(0)).where("toxic").count()
     graded = spark.createDataFrame([(i, int(i % 5 == 0), min(3, rows[i][1].count("vile") + rows[i][1].count("foul"))) for i in range(600)], "doc_id long, toxic int, grade int")
     assert toxicity.severity(make(spark, rows), graded).count() == len(rows)
+    # grades that are given stay, though one is missing
+    some = graded.withColumn("grade", F.when(F.col("doc_id") != 1, F.when(F.col("toxic") > 0, 1).otherwise(0)))
+    assert {x.severity for x in toxicity.severity(make(spark, rows), some).collect()} <= {0, 1}
 
 
 def test_ordinal_fit_orders_its_cuts():
