@@ -153,10 +153,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     able = members.join(alone, ["id", "s"], "left").withColumn("c", F.col("n") - F.coalesce("u", F.lit(0))).where(F.col("c") * 100 >= F.col("n") * percent).select("key", "id", "s", "n", "c")
     able = scratch.keep(able)
     members = scratch.keep(able.join(able.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "key"))
-    comp = tied.selectExpr("a as node", "b as component") if tied.isEmpty() else components(tied, scratch)
+    linked = not tied.isEmpty()
+    comp = components(tied, scratch) if linked else tied.selectExpr("a as node", "b as component")
     tested, turn = None, 0
     while True:
-        now = members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "s", "n", "c", F.coalesce("component", "id").alias("comp"))
+        if turn or linked:
+            now = members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "s", "n", "c", F.coalesce("component", "id").alias("comp"))
+        else:
+            now = members.withColumn("comp", F.col("id"))
         if turn:
             # Buckets that still hold more than one component, how many pairs they would give, and their largest component.
             sizes = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
@@ -165,7 +169,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             twice, rows_left = open_.agg(F.sum("twice"), F.sum("all")).first()
             if not twice:
                 break
-            now = now.join(open_.select("key", "largest"), "key")
+            # a bucket of one component stays so: later rounds read only the others
+            members = scratch.keep(now.join(open_.select("key", "largest"), "key"))
+            now = members
         last = turn > 0 and (twice <= 2 * PAIRS * rows_left or turn >= PIVOTS)
         if last:
             marked = scratch.hold(now.join(sets.select("id", "s", "parity"), ["id", "s"]))
