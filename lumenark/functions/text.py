@@ -48,14 +48,24 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def cooccurrence(long: DataFrame, doc: str, window: int = 1) -> DataFrame:
-    """(a, b, n): how often b stands within `window` places of a in the same document, both ways."""
-    w = Window.partitionBy(doc).orderBy("pos")
-    ahead = long.select("word", F.array(*(F.lead("word", k).over(w) for k in range(1, window + 1))).alias("next")).select(F.col("word").alias("a"), F.explode("next").alias("b")).where("b is not null")
+def cooccurrence(df: DataFrame, tokens: Column, window: int = 1) -> DataFrame:
+    """(a, b, n): how often b stands within `window` places of a in the same document, both ways.
+
+    Neighbours stand in the same row, so nothing is shuffled before the counts, which combine before their shuffle.
+    """
+    pairs = F.flatten(F.array(*(F.zip_with("w", F.slice("w", k + 1, F.greatest(F.size("w") - k, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))) for k in range(1, window + 1))))
+    ahead = df.select(tokens.alias("w")).select(F.inline(pairs)).where("b is not null")
     one = ahead.groupBy("a", "b").agg(F.count("*").alias("n"))
     return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def context_windows(df: DataFrame, doc: str, tokens: Column) -> DataFrame:
+    """(doc, pos, target, context): each token that has a neighbour on both sides, and these. Read from the row, without a shuffle."""
+    around = F.transform("w", lambda x, i: F.struct(i.alias("pos"), x.alias("target"), F.concat_ws(" ", F.get("w", i - 1), F.get("w", i + 1)).alias("context")))
+    inner = F.when(F.size("w") > 2, F.slice(around, F.lit(2), F.size("w") - 2))
+    return df.select(doc, tokens.alias("w")).select(doc, F.inline(inner))
+
+
 def ppmi(counts: DataFrame, epsilon: float = 1e-8) -> DataFrame:
     """(a, b, ppmi) of a co-occurrence table: max(0, log2(n * all / (n_a * n_b) + epsilon))."""
     rows = counts.groupBy("a").agg(F.sum("n").alias("na"))

@@ -45,7 +45,7 @@ def jaccard(x: Column, y: Column) -> Column:
 
 
 def softmax(x: Column) -> Column:
-    return let(x, lambda v: let(F.transform(v, lambda a: F.exp(a - F.array_max(v))), lambda e: let(total(e), lambda s: F.transform(e, lambda a: a / s))))
+    return let(F.struct(x.alias("v"), F.array_max(x).alias("m")), lambda r: let(F.transform(r["v"], lambda a: F.exp(a - r["m"])), lambda e: let(total(e), lambda s: F.transform(e, lambda a: a / s))))
 
 
 def log_softmax(x: Column) -> Column:

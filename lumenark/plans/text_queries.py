@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,8 +23,13 @@ def register(sql: str | None = None):
     return add
 
 
+def _tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    return table(spark, sf_dir, "documents"), T.sentence_tokens(F.coalesce(F.col("text"), F.lit("")))
+
+
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.positions(table(spark, sf_dir, "documents"), "doc_id", T.sentence_tokens(F.coalesce(F.col("text"), F.lit(""))))
+    docs, tokens = _tokens(spark, sf_dir)
+    return T.positions(docs, "doc_id", tokens)
 
 
 _L = "t AS (SELECT doc_id, list_filter(string_split(replace(lower(coalesce(text, '')), '.', ' .'), ' '), lambda w: w <> '') AS w FROM documents), l AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM t)"
@@ -72,12 +77,12 @@ _CO = f"{_L}, p AS (SELECT word AS a, lead(word) OVER (PARTITION BY doc_id ORDER
 
 @register(f"WITH {_CO} SELECT a, b, n FROM m")
 def text_cooccurrence(spark, sf_dir):
-    return T.cooccurrence(_long(spark, sf_dir), "doc_id")
+    return T.cooccurrence(*_tokens(spark, sf_dir))
 
 
 @register(f"WITH {_CO}, r AS (SELECT *, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER () AS t FROM m) SELECT a, b, round(greatest(0, log2(n::DOUBLE * t / (na * nb::DOUBLE) + 1e-8)), 6) + 0.0::DOUBLE AS ppmi FROM r")
 def text_ppmi(spark, sf_dir):
-    return T.ppmi(T.cooccurrence(_long(spark, sf_dir), "doc_id")).select("a", "b", rounded(F.col("ppmi")).alias("ppmi"))
+    return T.ppmi(T.cooccurrence(*_tokens(spark, sf_dir))).select("a", "b", rounded(F.col("ppmi")).alias("ppmi"))
 
 
 @register(f"WITH {_L}, c AS (SELECT word, pow(count(*), 0.75) AS w FROM l GROUP BY word) SELECT word, round(w / sum(w) OVER (), 10) AS p FROM c")
@@ -88,9 +93,8 @@ def text_sampling_weights(spark, sf_dir):
 
 @register(f"WITH {_L}, w AS (SELECT doc_id, pos, word, lag(word) OVER v AS a, lead(word) OVER v AS b FROM l WINDOW v AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, pos::INTEGER AS pos, word AS target, a || ' ' || b AS context FROM w WHERE a IS NOT NULL AND b IS NOT NULL")
 def text_context_windows(spark, sf_dir):
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    around = _long(spark, sf_dir).select("doc_id", "pos", F.col("word").alias("target"), F.lag("word").over(w).alias("a"), F.lead("word").over(w).alias("b"))
-    return around.where("a is not null and b is not null").select("doc_id", "pos", "target", F.concat_ws(" ", "a", "b").alias("context"))
+    docs, tokens = _tokens(spark, sf_dir)
+    return T.context_windows(docs, "doc_id", tokens)
 
 
 @register("SELECT doc_id, sha256(lower(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')))) AS h FROM documents WHERE text IS NOT NULL")

@@ -16,11 +16,11 @@ def windowed(events: DataFrame, size: str = "1 hour", late: str = "10 minutes",
     return w.groupBy(F.window(time, size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def recurrent(events: DataFrame, wx: float = 0.8, wh: float = 0.5, idle_ms: int = 3_600_000) -> DataFrame:
-    """(user_id, steps, h): a one-unit recurrent state for each user, carried over micro-batches and dropped when idle.
+def recurrent(events: DataFrame, wx: float = 0.8, wh: float = 0.5, idle_ms: int = 3_600_000, late: str = "10 minutes", time: str = "ts") -> DataFrame:
+    """(user_id, steps, h): a one-unit recurrent state for each user, carried over micro-batches.
 
-    Idle is by the clock, so Spark runs one more batch for ever, and a query with the trigger availableNow ends only where
-    spark.sql.streaming.noDataMicroBatches.enabled is false.
+    A state is dropped when the watermark is idle_ms past its user's last event; idle is by event time, so a stream
+    without new events comes to rest. Rows later than the watermark are left out.
     """
     import math
 
@@ -29,12 +29,14 @@ def recurrent(events: DataFrame, wx: float = 0.8, wh: float = 0.5, idle_ms: int
             state.remove()
             return
         n, h = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        rows = pd.concat(list(batches)).sort_values([time, "event_id"])
         for v in rows["value"]:
             h = math.tanh(wx * v / 100 + wh * h)
             n += 1
         state.update((n, h))
-        state.setTimeoutDuration(idle_ms)
+        until = int(rows[time].max().timestamp() * 1000) + idle_ms
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]], "steps": [n], "h": [h]})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, steps long, h double", "n long, h double", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, steps long, h double", "n long, h double", "update", GroupStateTimeout.EventTimeTimeout)
