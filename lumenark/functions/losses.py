@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenark.functions.scalar import log_one_plus_exp
+
 
 def mse(y: Column, t: Column, w: Column | None = None) -> Column:
     e = (y - t) * (y - t)
@@ -40,7 +42,7 @@ def binary_cross_entropy(p: Column, t: Column, epsilon: float = 1e-8) -> Column:
 
 
 def logits_cross_entropy(y: Column, t: Column) -> Column:
-    return F.avg(y * (1 - t) + F.log(1 + F.exp(-y)))
+    return F.avg(y * (1 - t) + log_one_plus_exp(-y))
 
 
 def pearson_loss(y: Column, t: Column, epsilon: float = 1e-8) -> Column:

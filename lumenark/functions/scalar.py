@@ -64,6 +64,11 @@ def softplus(x: Column, threshold: float = 20.0) -> Column:
     return F.when(x > threshold, x).otherwise(F.log(1 + F.exp(F.least(x, F.lit(threshold)))))
 
 
+def log_one_plus_exp(x: Column) -> Column:
+    """softplus without a threshold: exact for any x, and without overflow."""
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
 def softplus_gradient(x: Column, threshold: float = 20.0) -> Column:
     return F.when(x > threshold, F.lit(1.0)).otherwise(sigmoid(x))
 

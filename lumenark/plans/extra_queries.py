@@ -189,7 +189,7 @@ def series_pacf(spark, sf_dir):
 
 @register()
 def series_spline_outliers(spark, sf_dir):
-    """Values over six deviations off a spline through each user's daily means; one series a group."""
+    """Values over three deviations off a spline through each user's daily means; one series a group."""
 
     def flag(s: pd.DataFrame) -> pd.DataFrame:
         s = s.sort_values("ts")

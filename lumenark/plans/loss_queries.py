@@ -56,7 +56,7 @@ _BINARY: dict[str, tuple] = {
     "loss_binary_cross_entropy": (lambda: L.binary_cross_entropy(F.col("p"), F.col("t")), "-avg(t * ln(p + 1e-8) + (1 - t) * ln(1 - p + 1e-8))"),
     "loss_logits_cross_entropy": (lambda: L.logits_cross_entropy(F.col("x"), F.col("t")), "avg(x * (1 - t) + ln(1 + exp(-x)))"),
     "metric_binary_accuracy": (lambda: F.avg(((F.col("p") >= 0.5) == (F.col("t") == 1)).cast("double")), "avg(CASE WHEN (p >= 0.5) = (t = 1) THEN 1.0 ELSE 0.0 END)"),
-    "logit_loss": (lambda: F.sum(F.log(1 + F.exp(F.col("x"))) - F.col("t") * F.col("x")) + 1.0, "sum(ln(1 + exp(x)) - t * x) + 1.0"),
+    "logit_loss": (lambda: F.sum(S.log_one_plus_exp(F.col("x")) - F.col("t") * F.col("x")) + 1.0, "sum(ln(1 + exp(x)) - t * x) + 1.0"),
     "logit_gradient": (lambda: F.sum((F.col("p") - F.col("t")) * F.col("x")) + 1.0, "sum((p - t) * x) + 1.0"),
     "logit_hessian": (lambda: F.sum(F.col("p") * (1 - F.col("p")) * F.col("x") * F.col("x")), "sum(p * (1 - p) * x * x)"),
 }

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenark.functions import scalar as S
 from lumenark.functions import vector as V
 from lumenark.operators import series
 from lumenark.plans.kit import Query, rounded, table
@@ -88,7 +89,7 @@ def loss_divergence(spark, sf_dir):
 
 @register(f"WITH {_X} SELECT vec_id, round(-sum(ln(1 + exp(v)) - (CASE WHEN i % 2 = 0 THEN 1 ELSE 0 END) * v), 7) + 0.0::DOUBLE AS bernoulli, round(-0.5 * sum(2 * ln(1 + exp(v)) + pow((i % 3) / 2.0::DOUBLE - v, 2) / pow(1 + exp(v), 2)), 7) + 0.0::DOUBLE AS gaussian FROM l GROUP BY vec_id")
 def reconstruction_probability(spark, sf_dir):
-    softplus = lambda v: F.log(1 + F.exp(v))
+    softplus = S.log_one_plus_exp
     b = -V.total(F.transform("x", lambda v, i: softplus(v) - F.when(i % 2 == 0, v).otherwise(0.0)))
     g = -0.5 * V.total(F.transform("x", lambda v, i: 2 * softplus(v) + F.pow((i % 3) / 2.0 - v, F.lit(2)) / F.pow(1 + F.exp(v), F.lit(2))))
     return vectors(spark, sf_dir).select("vec_id", rounded(b, 7).alias("bernoulli"), rounded(g, 7).alias("gaussian"))
