@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenark.functions import vector as V
+from lumenark.operators.sampling import uniform
 
 
 def assigned(df: DataFrame, centres: DataFrame, distance=V.squared_distance) -> DataFrame:
@@ -78,3 +79,48 @@ def elbow(errors: DataFrame) -> DataFrame:
     n = errors.withColumn("k1", F.col("k") + 1).select(F.col("k1").alias("k"), F.col("error").alias("e1"))
     m = errors.select((F.col("k") - 1).alias("k"), F.col("error").alias("e2"))
     return errors.join(n, "k").join(m, "k").select("k", (F.col("e1") - 2 * F.col("error") + F.col("e2")).alias("c")).agg(F.max_by("k", "c").alias("k"))
+
+
+def projected(x: Column, matrix: np.ndarray) -> Column:
+    """The products of a vector with each row of a matrix, which stands in the plan as one constant."""
+    rows = F.lit(matrix.astype(float).ravel().tolist()) if matrix.size else F.array().cast("array<double>")
+    starts_ = F.sequence(F.lit(0), F.lit(len(matrix) - 1))
+    return F.transform(starts_, lambda i: V.dot(F.slice(rows, i * matrix.shape[1] + 1, matrix.shape[1]), x))
+
+
+def recovered(df: DataFrame, basis: np.ndarray) -> DataFrame:
+    """Adds r, the z-scored vector that the components z (one place for each column of the basis) stand for."""
+    return df.withColumn("r", projected(F.col("z"), basis))
+
+
+def starts(df: DataFrame, key: str, k: int, seed: int) -> np.ndarray:
+    """k rows of the table as first centres, those with the least numbers drawn from key and seed."""
+    rows = df.select(key, "x", uniform(seed, key).alias("_u")).orderBy("_u", key).limit(k).collect()
+    return np.array([r.x for r in rows], float)
+
+
+def best_of(df: DataFrame, key: str, k: int, count: int, rounds: int = 20) -> tuple[np.ndarray, float]:
+    """(centres, error) of the best of `count` fits from different starts, the first of equal ones."""
+    if k < 1 or count < 1:
+        raise ValueError("k and count must be one or more")
+    return min((lloyd(df, starts(df, key, k, seed), rounds) for seed in range(count)), key=lambda fit: fit[1])
+
+
+def uniform_reference(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """(key, x): as many rows, every place even between the least and the greatest value it has in df."""
+    place = df.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.min("v").alias("a"), F.max("v").alias("b")).orderBy("i").collect()
+    return df.select(key, F.array(*(uniform(seed * len(place) + r.i, key) * (r.b - r.a) + r.a for r in place)).alias("x"))
+
+
+def gap_statistic(df: DataFrame, key: str, ks: list[int], errors: list[float], count: int = 5, rounds: int = 10) -> tuple[int, list[float]]:
+    """(place of the largest gap, gaps): how far the log error of each k lies below its mean over `count` uniform references."""
+    if len(ks) == 1:
+        return 0, [0.0]
+    references = [uniform_reference(df, key, seed) for seed in range(1, count + 1)]
+    gaps = [float(np.mean([np.log(lloyd(r, starts(r, key, k, 0), rounds)[1]) for r in references]) - np.log(e)) for k, e in zip(ks, errors, strict=True)]
+    return int(np.argmax(gaps)), gaps
+
+
+def farthest_choice(choices: list[int]) -> int:
+    """What several ways of choosing a place come to: the greatest."""
+    return max(choices, default=0)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with QUERIES (name to function) and SQL (name to text).
-MODULES: tuple[str, ...] = ("scalar_queries", "loss_queries", "vector_queries", "series_queries", "text_queries", "model_queries", "learn_queries", "extra_queries", "more_queries", "fit_queries", "layer_queries")
+MODULES: tuple[str, ...] = ("scalar_queries", "loss_queries", "vector_queries", "series_queries", "text_queries", "model_queries", "learn_queries", "extra_queries", "more_queries", "fit_queries", "layer_queries", "recurrent_queries")
 
 
 def _merged(what: str) -> dict:
