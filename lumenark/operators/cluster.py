@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,15 +54,28 @@ def lloyd(df: DataFrame, centres: np.ndarray, rounds: int = 20, median: bool = F
 
 
 def covariance(df: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """(mean, population covariance, n) of array column x, from one aggregate of d * d sums."""
-    d = df.select(F.size("x")).first()
-    d = d[0] if d else 0
-    x = [F.get("x", F.lit(i)) for i in range(d)]
-    r = df.agg(F.count("*").alias("n"), *(F.sum(v).alias(f"m{i}") for i, v in enumerate(x)), *(F.sum(x[i] * x[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d))).first()
-    n = r["n"] or 1
-    m = np.array([r[f"m{i}"] for i in range(d)]) / n
-    c = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) / n
-    return m, c - np.outer(m, m), n
+    """(mean, population covariance, n) of array column x: every task sums products of its rows, and these are added by place.
+
+    Null vectors are left out; without rows the mean has no places and n is 1.
+    """
+
+    def run(batches):
+        total = None
+        for b in batches:
+            x = [v for v in b["x"] if v is not None]
+            if x:
+                x = np.c_[np.ones(len(x)), np.stack(x).astype(float)]
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(total.size), "s": total.ravel()})
+
+    sums = {r.i: r.s for r in df.select("x").mapInPandas(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()}
+    if not sums:
+        return np.zeros(0), np.zeros((0, 0)), 1
+    side = math.isqrt(len(sums))
+    g = np.array([sums[i] for i in range(side * side)]).reshape(side, side)
+    m = g[0, 1:] / g[0, 0]
+    return m, g[1:, 1:] / g[0, 0] - np.outer(m, m), int(g[0, 0])
 
 
 def principal(df: DataFrame, share: float = 0.9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,7 +101,8 @@ def projected(x: Column, matrix: np.ndarray) -> Column:
     """The products of a vector with each row of a matrix, which stands in the plan as one constant."""
     rows = F.lit(matrix.astype(float).ravel().tolist()) if matrix.size else F.array().cast("array<double>")
     starts_ = F.sequence(F.lit(0), F.lit(len(matrix) - 1))
-    return F.transform(starts_, lambda i: V.dot(F.slice(rows, i * matrix.shape[1] + 1, matrix.shape[1]), x))
+    # bound first, so that the vector's own expression is not evaluated again for each row of the matrix
+    return V.let(x, lambda v: F.transform(starts_, lambda i: V.dot(F.slice(rows, i * matrix.shape[1] + 1, matrix.shape[1]), v)))
 
 
 def recovered(df: DataFrame, basis: np.ndarray) -> DataFrame:

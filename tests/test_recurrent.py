@@ -110,3 +110,15 @@ def test_pruning_a_classification_tree(spark):
     n = tree.leaves()
     assert n >= 2 and classify.prune(tree, 0.0).leaves() == n
     assert classify.prune(tree, 1e6).leaves() == 1 and tree.column() is not None
+
+
+def test_covariance_and_recovery(spark):
+    x = np.random.default_rng(3).normal(size=(300, 4)) @ np.random.default_rng(4).normal(size=(4, 4)) + 5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(300, None)], "id int, x array<double>").repartition(5)
+    m, c, n = cluster.covariance(df)
+    assert n == 300 and np.allclose(m, x.mean(0)) and np.allclose(c, np.cov(x.T, bias=True))
+    m, s, basis = cluster.principal(df, 0.5)
+    z = (x - m) / s
+    back = cluster.recovered(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(z @ basis)], "id int, z array<double>"), basis)
+    assert basis.shape[1] < 4 and np.allclose([r.r for r in back.orderBy("id").collect()], z @ basis @ basis.T)
+    assert cluster.covariance(df.where("false"))[2] == 1
