@@ -75,12 +75,16 @@ class EncoderBlock:
         self.q, self.k, self.v, self.o = (r.normal(0, width**-0.5, (width, width)) for _ in range(4))
         self.w1, self.w2 = r.normal(0, width**-0.5, (width, hidden)), r.normal(0, hidden**-0.5, (hidden, width))
 
-    def attend(self, x: np.ndarray, memory: np.ndarray | None = None) -> np.ndarray:
+    def attend(self, x: np.ndarray, memory: np.ndarray | None = None, valid: int | np.ndarray | None = None) -> np.ndarray:
+        """Attention of the rows of x to those of memory, or to their own; to the first `valid` of them, for each row of x
+        or for all."""
         m = x if memory is None else memory
         q, k, v = (a.reshape(len(a), self.heads, -1).swapaxes(0, 1) for a in (x @ self.q, m @ self.k, m @ self.v))
         s = q @ k.swapaxes(1, 2) / np.sqrt(q.shape[-1])
         if self.causal and memory is None:
             s = np.where(np.tril(np.ones(s.shape[1:], bool)), s, -1e10)
+        if valid is not None:
+            s = np.where(np.arange(s.shape[2]) < np.broadcast_to(valid, len(x))[:, None], s, -1e10)
         return (softmax(s) @ v).swapaxes(0, 1).reshape(x.shape) @ self.o
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
@@ -99,3 +103,53 @@ def encoder(width: int, blocks: int = 2, **options) -> Callable[[np.ndarray], np
         return x
 
     return run
+
+
+class DecoderBlock:
+    """Attention to the rows so far, then to an encoder's output, then a two-layer network, each with residual and norm."""
+
+    def __init__(self, width: int, heads: int = 2, hidden: int = 16, seed: int = 3):
+        self.own, self.cross = EncoderBlock(width, heads, hidden, seed), EncoderBlock(width, heads, hidden, seed + 1000)
+
+    def __call__(self, x: np.ndarray, memory: np.ndarray, valid: int | None = None, before: np.ndarray | None = None) -> np.ndarray:
+        """`before` are this block's inputs for earlier rows, where rows come one after another."""
+        seen = x if before is None else np.concatenate([before, x])
+        x = layer_norm(x + self.own.attend(x, seen, np.arange(len(seen) - len(x), len(seen)) + 1))
+        x = layer_norm(x + self.cross.attend(x, memory, valid))
+        return layer_norm(x + np.maximum(x @ self.cross.w1, 0) @ self.cross.w2)
+
+
+class Decoder:
+    """Positions added, then the blocks, over rows of `width` and an encoder's output of as many places a row."""
+
+    def __init__(self, width: int, blocks: int = 2, **options):
+        self.width, self.blocks = width, [DecoderBlock(width, seed=3 + i, **options) for i in range(blocks)]
+
+    def __call__(self, x: np.ndarray, memory: np.ndarray, valid: int | None = None) -> np.ndarray:
+        return self.following(x, memory, [None] * len(self.blocks), valid)[0]
+
+    def following(self, x: np.ndarray, memory: np.ndarray, before: list, valid: int | None = None) -> tuple[np.ndarray, list]:
+        """(outputs of the next rows, what to pass as `before` for those after them); at first `before` holds None for each block."""
+        at = 0 if before[0] is None else len(before[0])
+        x, after = x + positions(at + len(x), self.width)[at:], []
+        for block, seen in zip(self.blocks, before, strict=True):
+            after.append(x if seen is None else np.concatenate([seen, x]))
+            x = block(x, memory, valid, seen)
+        return x, after
+
+
+def embedded(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The table's rows for ids, by the root of their width, as an embedding encoder or decoder reads them."""
+    return table[ids] * np.sqrt(table.shape[1])
+
+
+def map_pairs(df: DataFrame, key: str, target: str, source: str, f: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int) -> DataFrame:
+    """(key, y): f of each row's target and source sequences, arrays of rows of `width`; null where one of them is null."""
+
+    def run(batches):
+        for b in batches:
+            pairs = zip(b[target], b[source], strict=True)
+            out = [None if v is None or w is None else f(*(np.asarray(a, float).reshape(-1, width) for a in (v, w))).ravel().tolist() for v, w in pairs]
+            yield pd.DataFrame({key: b[key], "y": out})
+
+    return df.select(key, target, source).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, y array<double>")

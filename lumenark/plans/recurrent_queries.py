@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumenark.operators import classify, cluster, recurrent
+from lumenark.operators import classify, cluster, recurrent, sequence
 from lumenark.plans.kit import Query, rounded, table
 from lumenark.plans.vector_queries import _E, _sql, vectors
 from lumenark.sources import generators
@@ -138,3 +138,14 @@ def make_wave_grid(spark, sf_dir):
 
 QUERIES["make_wave_grid"] = make_wave_grid
 SQL["make_wave_grid"] = "SELECT id, id / 10.0::DOUBLE AS x, round(2 * sin(id / 10.0::DOUBLE) + pow(id / 10.0::DOUBLE, 0.8), 9) + 0.0::DOUBLE AS y FROM range(0, 50) t(id)"
+
+
+def transformer_decode(spark, sf_dir):
+    """Every vector's second half decoded against its encoded first half."""
+    halves = vectors(spark, sf_dir).select("vec_id", F.slice("x", 1, 32).alias("source"), F.slice("x", 33, 32).alias("target"))
+    encode, decode = sequence.encoder(FEATURES), sequence.Decoder(FEATURES)
+    y = sequence.map_pairs(halves, "vec_id", "target", "source", lambda x, m: decode(x, encode(m)), FEATURES)
+    return y.select("vec_id", F.posexplode("y").alias("pos", "y")).select("vec_id", "pos", rounded(F.col("y"), 7).alias("y"))
+
+
+QUERIES["transformer_decode"] = transformer_decode

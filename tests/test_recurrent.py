@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenark.operators import classify, cluster, recurrent
+from lumenark.operators import classify, cluster, recurrent, sequence
 from lumenark.sources import generators
 
 
@@ -122,3 +122,32 @@ def test_covariance_and_recovery(spark):
     back = cluster.recovered(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(z @ basis)], "id int, z array<double>"), basis)
     assert basis.shape[1] < 4 and np.allclose([r.r for r in back.orderBy("id").collect()], z @ basis @ basis.T)
     assert cluster.covariance(df.where("false"))[2] == 1
+
+
+def test_decoder_row_by_row_and_masks(spark):
+    r = np.random.default_rng(6)
+    x, memory = r.normal(size=(5, 8)), r.normal(size=(4, 8))
+    decode = sequence.Decoder(8, 3)
+    whole, before, got = decode(x, memory, 3), [None] * 3, []
+    for row in x:
+        y, before = decode.following(row[None], memory, before, 3)
+        got.append(y[0])
+    assert np.allclose(got, whole)
+    # rows after a row and memory beyond the valid length change nothing; valid memory does
+    assert np.allclose(decode(np.r_[x[:2], x[:3] + 1], memory, 3)[:2], whole[:2])
+    other = memory.copy()
+    other[3] += 5
+    assert np.allclose(decode(x, other, 3), whole) and not np.allclose(decode(x, other), decode(x, memory))
+    block = sequence.EncoderBlock(8)
+    head = lambda a, w, h: (a @ w)[:, 4 * h : 4 * h + 4]
+    want = np.zeros((5, 8))
+    for i in range(5):
+        for h in range(2):
+            scores = np.exp([head(x, block.q, h)[i] @ head(memory, block.k, h)[j] / 2 for j in range(3)])
+            want[i, 4 * h : 4 * h + 4] = scores / scores.sum() @ head(memory, block.v, h)[:3]
+    assert np.allclose(block.attend(x, memory, 3), want @ block.o)
+    table = r.normal(size=(6, 8))
+    assert np.allclose(sequence.embedded(np.array([2, 0]), table), table[[2, 0]] * 8**0.5)
+    rows = [(0, x.ravel().tolist(), memory.ravel().tolist()), (1, None, memory.ravel().tolist())]
+    out = {v.id: v.y for v in sequence.map_pairs(spark.createDataFrame(rows, "id int, t array<double>, s array<double>"), "id", "t", "s", decode, 8).collect()}
+    assert np.allclose(np.reshape(out[0], (5, 8)), decode(x, memory)) and out[1] is None
