@@ -185,9 +185,9 @@ SELECT event_id FROM events, q, k WHERE NOT cut OR value BETWEEN a - 0.5 * (b -
 def filter_interquartile(spark, sf_dir):
     """Values outside the quartiles by over half their distance go, unless under 85 of 100 would remain."""
     e = _events(spark, sf_dir).select("event_id", "value")
-    q = e.agg(F.percentile("value", F.lit(0.25)).alias("a"), F.percentile("value", F.lit(0.75)).alias("b")).select((1.5 * F.col("a") - 0.5 * F.col("b")).alias("lo"), (1.5 * F.col("b") - 0.5 * F.col("a")).alias("hi"))
-    inside = F.col("value").between(F.col("lo"), F.col("hi"))
-    k = e.join(F.broadcast(q)).groupBy("lo", "hi").agg((F.avg(inside.cast("double")) >= 0.85).alias("cut"))
+    a, b = (F.lit(x).cast("double") for x in stats.quantiles(e, "value", [0.25, 0.75]))
+    inside = F.col("value").between(a - 0.5 * (b - a), b + 0.5 * (b - a))
+    k = e.agg((100 * F.count_if(inside) >= 85 * F.count("*")).alias("cut"))
     return e.join(F.broadcast(k)).where(~F.col("cut") | inside).select("event_id")
 
 
