@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenark.functions import vector as V
+from lumenark.operators.neighbours import nearest
 from lumenark.plans.kit import Query, rounded, table
 
 
@@ -131,7 +132,7 @@ def neighbours(df: DataFrame, k: int, distance, queries: DataFrame) -> DataFrame
 def knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The majority label of the 5 nearest vectors, for every vector whose id is divisible by 20; ties to the nearer label."""
     df = vectors(spark, sf_dir)
-    near = neighbours(df, 5, V.squared_distance, df.where("vec_id % 20 = 0"))
+    near = nearest(df, 5, "squared", df.where("vec_id % 20 = 0"))
     votes = near.groupBy("query_id", "label").agg(F.count("*").alias("votes"), F.min("rank").alias("first"))
     return votes.groupBy("query_id").agg(F.max_by(F.struct("label", "votes"), F.struct("votes", (-F.col("first")).alias("f"))).alias("b")).select("query_id", F.col("b.label").alias("label"), F.col("b.votes").alias("votes"))
 
