@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumenark.functions import vector as V
 from lumenark.operators.neighbours import nearest
@@ -107,28 +106,6 @@ SQL["vec_distances"] = _sql("""SELECT vec_id, round(sum((v - c) * (v - c)), 6) +
 FROM (SELECT *, avg(v) OVER (PARTITION BY i) AS c FROM l) GROUP BY vec_id""")
 
 
-#: Queries compared with all rows in one pass; a block of them is what is broadcast.
-QUERY_BLOCK = 4096
-
-
-def neighbours(df: DataFrame, k: int, distance, queries: DataFrame) -> DataFrame:
-    """(query_id, vec_id, label, d, rank): the k nearest other vectors of each query; ties by id.
-
-    The stated queries meet all rows in blocks of bounded size. Only the k best of a query in each of 64 parts of the rows go
-    on to the last ranking, so no task ranks all rows of a query.
-    """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    out = None
-    for i in range(blocks):
-        q = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
-        pairs = df.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "label", distance(F.col("q"), F.col("x")).alias("d"))
-        part = Window.partitionBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("d", "vec_id")
-        best = pairs.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k)
-        ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))).where(F.col("rank") <= k).drop("r")
-        out = ranked if out is None else out.unionByName(ranked)
-    return out
-
-
 def knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The majority label of the 5 nearest vectors, for every vector whose id is divisible by 20; ties to the nearer label."""
     df = vectors(spark, sf_dir)
@@ -148,7 +125,7 @@ SELECT query_id, label, votes FROM v QUALIFY row_number() OVER (PARTITION BY que
 def most_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 most cosine-similar vectors of every vector whose id is divisible by 20."""
     df = vectors(spark, sf_dir)
-    return neighbours(df, 5, lambda a, b: -V.cosine(a, b), df.where("vec_id % 20 = 0")).select("query_id", "vec_id", "rank", rounded(-F.col("d")).alias("similarity"))
+    return nearest(df, 5, "cosine", df.where("vec_id % 20 = 0")).select("query_id", "vec_id", "rank", rounded(-F.col("d")).alias("similarity"))
 
 
 QUERIES["most_similar"] = most_similar

@@ -29,13 +29,13 @@ def odd():
     return rows
 
 
-@pytest.mark.parametrize("name", ["knn_vote"])
+@pytest.mark.parametrize("name", ["knn_vote", "most_similar"])
 def test_odd_vectors_as_in_sql(spark, tmp_path, name):
     got, want = both(spark, tmp_path, name, odd())
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["knn_vote"])
+@pytest.mark.parametrize("name", ["knn_vote", "most_similar"])
 def test_many_copies_in_small_blocks(spark, tmp_path, name, monkeypatch):
     for k, v in {"QUERY_BLOCK": 7, "PART_ROWS": 100}.items():
         monkeypatch.setattr(neighbours, k, v)
