@@ -78,13 +78,25 @@ def gmm_fit(spark, sf_dir):
     return spark.createDataFrame([(float(w), float(g.mean[0]), float(g.mean[1])) for w, g in zip(m.weights, (r for r in m.gaussians), strict=True)], "weight double, value double, hour double")
 
 
+#: Characters of text for each task of the skip-gram learner. A task trains its own copy of the vectors; the learner averages
+#: a word's vectors over the tasks that met it. Texts of up to so many characters are trained by one task.
+PART_CHARS = 16_000_000
+
+
+def skip_gram(df, text: str = "text"):
+    """The learner for a column w of words of df, with as many tasks as its texts need."""
+    from pyspark.ml.feature import Word2Vec
+
+    chars = df.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
+    return Word2Vec(vectorSize=16, minCount=20, seed=3, maxIter=1, numPartitions=max(1, -(-chars // PART_CHARS)), inputCol="w", outputCol="v")
+
+
 @register()
 def embedding_train(spark, sf_dir):
     """Word vectors of all documents by the skip-gram learner that comes with Spark."""
-    from pyspark.ml.feature import Word2Vec
-
-    words = table(spark, sf_dir, "documents").select(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}]+").alias("w"))
-    model = Word2Vec(vectorSize=16, minCount=20, seed=3, maxIter=1, inputCol="w", outputCol="v").fit(words)
     from pyspark.ml.functions import vector_to_array
 
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}]+").alias("w"))
+    model = skip_gram(docs).fit(words)
     return model.getVectors().select("word", rounded(F.sqrt(F.aggregate(vector_to_array("vector"), F.lit(0.0), lambda a, v: a + v * v))).alias("norm"))
